@@ -156,3 +156,48 @@ def importance_topk(spark, sf):
     m = M.fit(sp.where(F.col("split") == "train"), FEATS, "rf", {"maxDepth": 10})
     imp = R.importance_table(spark, *zip(*M.importances(m)), model="Random Forest")
     return R.importance_topk(imp, 20)
+
+
+@key("manual_rows", """SELECT id, period AS koi_period, duration AS koi_duration, depth AS koi_depth,
+  prad AS koi_prad, snr AS koi_model_snr, st_teff AS koi_steff, st_rad AS koi_srad, label,
+  (period IS NOT NULL AND duration IS NOT NULL AND depth IS NOT NULL AND prad IS NOT NULL
+   AND label IN ('PLANET', 'NOT_PLANET')) AS valid,
+  CASE WHEN label = 'PLANET' THEN 'CONFIRMED' ELSE 'FALSE POSITIVE' END AS koi_disposition
+FROM (SELECT *, CASE WHEN disposition = 'FALSE POSITIVE' THEN 'NOT_PLANET' ELSE 'PLANET' END AS label FROM obs) o""")
+def manual_rows(spark, sf):
+    """Manual records (here: V_OBS rows typed in through the manual
+    form schema) are validated and mapped so that they train."""
+    from corvid.sources import io
+    o = views.obs(spark, sf)
+    recs = o.select(F.col("id"), F.col("period").alias("koi_period"), F.col("duration").alias("koi_duration"),
+                    F.col("depth").alias("koi_depth"), F.col("prad").alias("koi_prad"),
+                    F.col("snr").alias("koi_model_snr"), F.col("st_teff").alias("koi_steff"),
+                    F.col("st_rad").alias("koi_srad"),
+                    F.when(F.col("disposition") == "FALSE POSITIVE", "NOT_PLANET").otherwise("PLANET").alias("label"))
+    return io.validate_manual(recs)
+
+
+@key("best_iteration")
+def best_iteration(spark, sf):
+    """A boosted model's per-iteration validation loss is written as a
+    tab-separated training log, read back, and its best iteration found."""
+    from pyspark.ml.classification import GBTClassificationModel
+    from corvid.sources import io
+    sp = split_sig(spark, sf).cache()
+    m = M.fit(sp.where(F.col("split") == "train"), FEATS, "gbt", {"maxIter": 30})
+    gbt: GBTClassificationModel = m.stages[-1]
+    test = m.stages[1].transform(m.stages[0].transform(sp.where(F.col("split") == "test")))
+    losses = gbt.evaluateEachIteration(test.withColumn("label", F.col("label").cast("double")))
+    log = spark.createDataFrame([(i + 1, float(v)) for i, v in enumerate(losses)], "iter int, Logloss double")
+    path = scratch_dir(spark, f"log-{uuid.uuid4().hex}")
+    io.write_training_log(log, path)
+    return io.best_iteration(io.read_training_log(spark, path), "Logloss", "iter", "min")
+
+
+@key("score_record")
+def score_record(spark, sf):
+    """K1: one feature map (the first V_SIG row by id) scored by the same
+    path as the batch."""
+    sp, models = _three_models(spark, sf)
+    first = sp.where(F.col("split") == "test").orderBy("id").limit(1).select(*FEATS).first().asDict()
+    return S.score_record(spark, models, first)

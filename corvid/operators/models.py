@@ -37,6 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvid.operators import prep
+from corvid.session import ensure_checkpoint_dir, reliable_checkpoint
 
 SEED = 42
 
@@ -84,17 +85,20 @@ def prep_transformer(features: list[str], medians: dict, scales: dict | None = N
 
 def _estimator(family: str, p: dict, n_features: int, weight: str | None):
     common = dict(featuresCol="features", labelCol="label")
+    # deep trees: node ids cached per row (checkpointed to the shared
+    # checkpoint folder every 10 iterations) and more nodes split per pass
+    tree_io = dict(cacheNodeIds=True, checkpointInterval=10, maxMemoryInMB=512)
     if family in ("rf", "subspace"):
         kw = dict(numTrees=p.get("numTrees", 100), maxDepth=p.get("maxDepth", 5), seed=SEED,
                   minInstancesPerNode=p.get("minInstancesPerNode", 1),
                   featureSubsetStrategy=p.get("featureSubsetStrategy", "auto"),
-                  bootstrap=p.get("bootstrap", True))
+                  bootstrap=p.get("bootstrap", True), **tree_io)
         if weight:
             kw["weightCol"] = weight
         return RandomForestClassifier(**common, **kw)
     if family.startswith("gbt"):
         kw = dict(maxIter=p.get("maxIter", 20), stepSize=p.get("stepSize", 0.1), maxDepth=p.get("maxDepth", 5),
-                  maxBins=p.get("maxBins", 32), seed=SEED)
+                  maxBins=p.get("maxBins", 32), seed=SEED, **tree_io)
         if p.get("validation"):
             kw.update(validationIndicatorCol="_is_val", validationTol=p.get("validationTol", 0.01))
         if weight:
@@ -106,7 +110,7 @@ def _estimator(family: str, p: dict, n_features: int, weight: str | None):
             kw["weightCol"] = weight
         return LogisticRegression(**common, **kw)
     if family == "dt":
-        kw = dict(maxDepth=p.get("maxDepth", 5), seed=SEED)
+        kw = dict(maxDepth=p.get("maxDepth", 5), seed=SEED, **tree_io)
         if weight:
             kw["weightCol"] = weight
         return DecisionTreeClassifier(**common, **kw)
@@ -127,6 +131,7 @@ def fit(train: DataFrame, features: list[str], family: str, params: dict | None
         label: str = "label", id_col: str = "id") -> PipelineModel:
     """Fit one family; preprocessing is fitted on ``train`` only."""
     p = {**PRESETS.get(family, {}), **(params or {})}
+    ensure_checkpoint_dir(train.sparkSession)      # tree node-id cache checkpoints go there
     if family == "adaboost":
         return fit_adaboost(train, features, p.get("rounds", 100), p.get("maxDepth", 1), label)
     if family == "stacking":
@@ -139,10 +144,12 @@ def fit(train: DataFrame, features: list[str], family: str, params: dict | None
     data = train.withColumn("label", F.col(label).cast("double"))
     weight = None
     if p.get("balanced"):
-        data = prep.with_class_weight(data, "label", "_w")
-        weight = "_w"
-        if data.where(F.col("_w").isNull()).limit(1).count():
-            data, weight = data.drop("_w"), None
+        w = prep.balanced_weights(prep.class_counts_local(data, "label"))   # one row per class
+        if w is not None:
+            expr = F.lit(None).cast("double")
+            for c, v in w.items():
+                expr = F.when(F.col("label") == c, F.lit(v)).otherwise(expr)
+            data, weight = data.withColumn("_w", expr), "_w"
     if p.get("validation"):
         data = data.withColumn("_is_val", prep.seeded_md5(f"{SEED}val", id_col).substr(1, 8)
                                < F.lit(format(int(p["validation"] * 16 ** 8), "08x")))
@@ -247,7 +254,7 @@ def fit_adaboost(train: DataFrame, features: list[str], rounds: int = 100, depth
             break
         cur = pred.select(*feats, "label", (F.col("_w") * F.exp(F.lit(alpha) * F.col("_miss"))).alias("_w"))
         if (r + 1) % checkpoint_every == 0:
-            cur = cur.checkpoint(eager=True)
+            cur = reliable_checkpoint(cur)
     return BoostedStumps(models, alphas, feats)
 
 
@@ -277,7 +284,7 @@ def fit_stacking(train: DataFrame, features: list[str], p: dict, label: str = "l
     base_params = [dict(numTrees=trees, maxDepth=p.get("maxDepth", 5), balanced=True),
                    dict(numTrees=trees, maxDepth=p.get("maxDepth", 5), balanced=True,
                         featureSubsetStrategy="onethird")]
-    folded = prep.kfold(train, k, label, id_col).checkpoint(eager=True)
+    folded = reliable_checkpoint(prep.kfold(train, k, label, id_col))
     oof = None
     for i, bp in enumerate(base_params):
         parts = []

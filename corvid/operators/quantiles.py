@@ -71,6 +71,10 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float],
     long = _long(df, sorted({t["c"] for t in tasks}))
     spark = df.sparkSession
     pending = tasks
+    # a bracket that is the whole [min, max] range needs no histogram pass:
+    # nothing lies below it and it holds all n values
+    for t in pending:
+        t["full"] = t["n"] <= max_collect and t["lo"] == t["gmin"] and t["hi"] == t["gmax"]
     for _ in range(64):
         if not pending:
             break
@@ -84,12 +88,20 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float],
                 .when(width == 0, F.lit(0))
                 .otherwise(F.least(F.floor((F.col("v") - F.col("lo")) / width * N_BINS).cast("int"),
                                    F.lit(N_BINS - 1))))
-        hist = joined.groupBy("task", binc.alias("bin")).agg(F.count(F.lit(1)).alias("cnt")).collect()
+        need_hist = [j for j, t in enumerate(pending) if not t.get("full")]
+        hist = [] if not need_hist else (
+            joined.where(F.col("task").isin(need_hist))
+            .groupBy("task", binc.alias("bin")).agg(F.count(F.lit(1)).alias("cnt")).collect())
         per: dict = {}
         for r in hist:
             per.setdefault(r["task"], {})[r["bin"]] = r["cnt"]
         collect_ids, nxt = [], []
         for j, t in enumerate(pending):
+            if t.get("full"):
+                t["below"] = 0
+                t["full"] = False
+                collect_ids.append(j)
+                continue
             bins = per.get(j, {})
             below = bins.get(-1, 0)
             inside = sum(v for b, v in bins.items() if b >= 0)

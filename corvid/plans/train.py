@@ -17,6 +17,7 @@ from corvid.functions import labels as L
 from corvid.operators import evaluate as E
 from corvid.operators import models as M
 from corvid.operators import prep
+from corvid.session import reliable_checkpoint
 from corvid.sources import io
 
 METRICS = ["accuracy", "precision", "recall", "f1", "roc_auc"]
@@ -30,7 +31,7 @@ def cross_validate(df: DataFrame, features: list[str], family: str, k: int = 5,
                    params: dict | None = None, id_col: str = "id") -> DataFrame:
     """Stratified k folds; balancing is applied inside the training
     folds only (no leakage); one metrics row per fold."""
-    folded = prep.kfold(df, k, "label", id_col).checkpoint(eager=True)
+    folded = reliable_checkpoint(prep.kfold(df, k, "label", id_col))
     rows = []
     for f in range(k):
         train = prep.balance(folded.where(F.col("fold") != f), balance, features, "label", id_col)

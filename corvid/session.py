@@ -68,3 +68,10 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     """A sub-folder of the checkpoint directory for written intermediate tables."""
     base = ensure_checkpoint_dir(spark)
     return base.rstrip("/") + "/" + name
+
+
+def reliable_checkpoint(df):
+    """Cut lineage with a reliable checkpoint in the session's checkpoint
+    folder (resolved, or set for local runs, first)."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

@@ -155,6 +155,19 @@ def manual_rows(spark: SparkSession, records: list[dict]) -> DataFrame:
                          F.when(F.col("label") == "PLANET", "CONFIRMED").otherwise("FALSE POSITIVE"))
 
 
+def validate_manual(df: DataFrame) -> DataFrame:
+    """A9 over a table of manual records: rows missing a required field or
+    with a label outside PLANET / NOT_PLANET are flagged, valid rows get the
+    label text mapped into ``koi_disposition``."""
+    ok = F.lit(True)
+    for c in REQUIRED_MANUAL:
+        ok = ok & F.col(c).isNotNull()
+    ok = ok & F.col("label").isin("PLANET", "NOT_PLANET")
+    return (df.withColumn("valid", ok)
+            .withColumn("koi_disposition",
+                        F.when(F.col("label") == "PLANET", "CONFIRMED").otherwise("FALSE POSITIVE")))
+
+
 def resolve_training_source(spark: SparkSession, master_root: str, raw_root: str) -> DataFrame:
     """A10: the master if present, else the last raw upload."""
     master = read_versioned(spark, master_root)
@@ -207,9 +220,17 @@ def read_training_log(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("header", True).option("sep", "\t").option("inferSchema", True).csv(path)
 
 
-def best_iteration(log: DataFrame, metric: str = "AUC", iter_col: str = "iter") -> DataFrame:
-    """Iteration of the best (max) metric, and that metric."""
-    return log.agg(F.max_by(iter_col, metric).alias("best_iter"), F.max(metric).alias(f"best_{metric.lower()}"))
+def best_iteration(log: DataFrame, metric: str = "AUC", iter_col: str = "iter", mode: str = "max") -> DataFrame:
+    """Iteration of the best metric (max for AUC-like, min for losses); ties
+    go to the earliest iteration."""
+    key = F.struct(F.col(metric) if mode == "max" else -F.col(metric), -F.col(iter_col))
+    return log.agg(F.max_by(iter_col, key).alias("best_iter"),
+                   (F.max(metric) if mode == "max" else F.min(metric)).alias(f"best_{metric.lower()}"))
+
+
+def write_training_log(log: DataFrame, path: str) -> None:
+    """Per-iteration metrics as a tab-separated file with a header."""
+    log.coalesce(1).write.mode("overwrite").option("header", True).option("sep", "\t").csv(path)
 
 
 def union_frames(frames: list[DataFrame]) -> DataFrame:

@@ -13,6 +13,7 @@ def table_path(sf_dir: str, name: str) -> str:
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Lazy parquet scan; projections and filters applied later are pushed
-    into the scan by Catalyst (ReadSchema / PushedFilters)."""
-    return spark.read.parquet(table_path(sf_dir, name))
+    """Lazy parquet scan (A1); projections and filters applied later are
+    pushed into the scan by Catalyst (ReadSchema / PushedFilters)."""
+    from corvid.sources.io import read_table
+    return read_table(spark, table_path(sf_dir, name))

@@ -100,3 +100,28 @@ def test_entry_smoke(spark):
     df = E.entry(spark)
     rows = df.collect()
     assert len(rows) == 1 and 0.0 <= rows[0]["accuracy"] <= 1.0
+
+
+def test_sinks_and_resolve(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "id long, v string")
+    root = str(tmp_path / "raw")
+    io.write_snapshot(df, root, "20240101_000000")
+    io.write_snapshot(df.limit(1), root, "20240102_000000")
+    last = io.resolve_training_source(spark, str(tmp_path / "master"), root)
+    assert last.count() == 1
+    io.write_versioned(df, str(tmp_path / "master"))
+    assert io.resolve_training_source(spark, str(tmp_path / "master"), root).count() == 2
+    assert io.land_once(df, str(tmp_path / "land")) is True
+    assert io.land_once(df, str(tmp_path / "land")) is False
+    io.write_result_table(df, str(tmp_path / "res"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "res")).count() == 2
+    from corvid.operators.select import has_min_rows
+    assert has_min_rows(df, 2) and not has_min_rows(df, 3)
+
+
+def test_report_text(spark, tmp_path):
+    from corvid.operators.evaluate import class_report
+    df = spark.createDataFrame([(1, 1), (0, 1), (0, 0)], "label int, pred int")
+    io.report_text(class_report(df), str(tmp_path / "rep"))
+    lines = [r[0] for r in spark.read.text(str(tmp_path / "rep")).collect()]
+    assert len(lines) == 5 and any("weighted avg" in x for x in lines)
