@@ -13,8 +13,8 @@ from corvid.sources import views
 
 SS = f", ss AS ({SCORED_SIG_SQL})\n"
 
-_CONF_SQL = """count_if(label = 0 AND pred = 0) AS tn, count_if(label = 0 AND pred = 1) AS fp,
-  count_if(label = 1 AND pred = 0) AS fn, count_if(label = 1 AND pred = 1) AS tp"""
+_CONF_SQL = """CAST(count_if(label = 0 AND pred = 0) AS BIGINT) AS tn, CAST(count_if(label = 0 AND pred = 1) AS BIGINT) AS fp,
+  CAST(count_if(label = 1 AND pred = 0) AS BIGINT) AS fn, CAST(count_if(label = 1 AND pred = 1) AS BIGINT) AS tp"""
 
 
 def auc_sql(src: str, score: str = "score", label: str = "label", group: str | None = None) -> str:

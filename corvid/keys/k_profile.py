@@ -36,7 +36,7 @@ def class_share(spark, sf):
     return P.class_share(_general(spark, sf), "label")
 
 
-@key("class_ratio", """SELECT count_if(label = 0) AS n_neg, count_if(label = 1) AS n_pos,
+@key("class_ratio", """SELECT CAST(count_if(label = 0) AS BIGINT) AS n_neg, CAST(count_if(label = 1) AS BIGINT) AS n_pos,
   round(CAST(count_if(label = 0) AS DOUBLE) / nullif(count_if(label = 1), 0), 4) AS ratio FROM sig""")
 def class_ratio(spark, sf):
     return P.class_ratio(views.sig(spark, sf), "label")
@@ -45,7 +45,7 @@ def class_ratio(spark, sf):
 _OBS_ALL = ["id", "disposition"] + _F
 
 
-@key("null_counts", unpivot_sql(_OBS_ALL, "count_if({c} IS NULL)", "obs", "nulls"))
+@key("null_counts", unpivot_sql(_OBS_ALL, "CAST(count_if({c} IS NULL) AS BIGINT)", "obs", "nulls"))
 def null_counts(spark, sf):
     return P.null_counts(views.obs(spark, sf))
 
@@ -115,8 +115,8 @@ u AS (SELECT 'koi' AS source, CAST(label AS INTEGER) AS label FROM ({_STD_KOI_SQ
       UNION ALL
       SELECT 'toi' AS source, CAST(label AS INTEGER) AS label FROM ({_STD_TOI_SQL}) b
         WHERE TRY_CAST(label AS INTEGER) IN (0, 1))
-SELECT coalesce(source, 'ALL') AS source, count(*) AS n_rows, count_if(label = 1) AS n_pos,
-       count_if(label = 0) AS n_neg
+SELECT coalesce(source, 'ALL') AS source, count(*) AS n_rows, CAST(count_if(label = 1) AS BIGINT) AS n_pos,
+       CAST(count_if(label = 0) AS BIGINT) AS n_neg
 FROM u GROUP BY ROLLUP (source)""")
 def source_rollup(spark, sf):
     k = L.binary_filter(standardize(koi_like(spark, sf), "koi")).withColumn("source", F.lit("koi"))

@@ -86,8 +86,9 @@ def prep_transformer(features: list[str], medians: dict, scales: dict | None = N
 def _estimator(family: str, p: dict, n_features: int, weight: str | None):
     common = dict(featuresCol="features", labelCol="label")
     # deep trees: node ids cached per row (checkpointed to the shared
-    # checkpoint folder every 10 iterations) and more nodes split per pass
-    tree_io = dict(cacheNodeIds=True, checkpointInterval=10, maxMemoryInMB=512)
+    # checkpoint folder every 10 iterations); the per-task node-statistics
+    # budget stays at Spark's default so 8+ concurrent tasks fit any heap
+    tree_io = dict(cacheNodeIds=True, checkpointInterval=10, maxMemoryInMB=256)
     if family in ("rf", "subspace"):
         kw = dict(numTrees=p.get("numTrees", 100), maxDepth=p.get("maxDepth", 5), seed=SEED,
                   minInstancesPerNode=p.get("minInstancesPerNode", 1),
@@ -205,57 +206,58 @@ def importances(model: PipelineModel) -> list[tuple[str, float]]:
 
 # --- J11 AdaBoost (SAMME) ---------------------------------------------------------------------
 class BoostedStumps:
-    """A list of (PipelineModel, alpha); score = sign of the weighted vote,
-    probability = logistic of twice the normalized margin."""
+    """Fitted preprocessing (one PipelineModel) plus a list of (tree, alpha);
+    score = weighted vote, probability = logistic of twice the normalized
+    margin."""
 
-    def __init__(self, models, alphas, features):
-        self.models, self.alphas, self.features = models, alphas, features
+    def __init__(self, prep_model, trees, alphas, features):
+        self.prep_model, self.trees, self.alphas, self.features = prep_model, trees, alphas, features
 
     def score(self, df: DataFrame, keep=("id", "label")) -> DataFrame:
-        cur = df.withColumn("_m", F.lit(0.0))
+        cols = [c for c in keep if c in df.columns]
+        cur = self.prep_model.transform(df).select(*cols, "features").withColumn("_m", F.lit(0.0))
         total = sum(abs(a) for a in self.alphas) or 1.0
-        for m, a in zip(self.models, self.alphas):
-            cur = (m.transform(cur).withColumn("_m", F.col("_m") + F.lit(a) * (2 * F.col("prediction") - 1))
-                   .drop("prediction", "probability", "rawPrediction", "features",
-                         *[f"{c}__x" for c in self.features]))
+        for t, a in zip(self.trees, self.alphas):
+            cur = (t.transform(cur).withColumn("_m", F.col("_m") + F.lit(a) * (2 * F.col("prediction") - 1))
+                   .drop("prediction", "probability", "rawPrediction"))
         p1 = F.lit(1.0) / (F.lit(1.0) + F.exp(-2.0 * F.col("_m") / F.lit(total)))
-        cols = [c for c in keep if c in cur.columns]
         return cur.select(*cols, (F.col("_m") > 0).cast("int").alias("prediction"), p1.alias("p1"),
                           F.greatest(p1, F.lit(1.0) - p1).alias("confidence"))
 
 
 def fit_adaboost(train: DataFrame, features: list[str], rounds: int = 100, depth: int = 1,
                  label: str = "label", checkpoint_every: int = 10) -> BoostedStumps:
-    """SAMME: each round fits a weighted tree, then re-weights the rows it
-    missed.  Lineage is cut with a reliable ``checkpoint()`` (to the
-    session's checkpoint folder) every few rounds."""
+    """SAMME: each round fits a weighted tree on the assembled (once) feature
+    vectors, then re-weights the rows it missed.  The loop is inherently
+    sequential (one distributed fit per round); lineage is cut with a
+    reliable ``checkpoint()`` every few rounds."""
     medians = prep.fit_median(train, features)
     feats = [c for c in features if c in medians]
-    base = train.select(*feats, F.col(label).cast("double").alias("label"))
-    n = base.count()
-    cur = base.withColumn("_w", F.lit(1.0 / max(n, 1)))
-    models, alphas = [], []
+    prep_model = Pipeline(stages=[prep_transformer(feats, medians),
+                                  VectorAssembler(inputCols=[f"{c}__x" for c in feats], outputCol="features")]
+                          ).fit(train.limit(0))
+    vec = prep_model.transform(train).select("features", F.col(label).cast("double").alias("label"))
+    n = vec.count()
+    cur = reliable_checkpoint(vec.withColumn("_w", F.lit(1.0 / max(n, 1))))
+    trees, alphas = [], []
     for r in range(rounds):
-        p = Pipeline(stages=[prep_transformer(feats, medians),
-                             VectorAssembler(inputCols=[f"{c}__x" for c in feats], outputCol="features"),
-                             DecisionTreeClassifier(featuresCol="features", labelCol="label", weightCol="_w",
-                                                    maxDepth=depth, seed=SEED)])
-        m = p.fit(cur)
-        pred = m.transform(cur).withColumn("_miss", (F.col("prediction") != F.col("label")).cast("double"))
+        t = DecisionTreeClassifier(featuresCol="features", labelCol="label", weightCol="_w",
+                                   maxDepth=depth, seed=SEED).fit(cur)
+        pred = t.transform(cur).withColumn("_miss", (F.col("prediction") != F.col("label")).cast("double"))
         agg = pred.agg(F.sum(F.col("_w") * F.col("_miss")).alias("e"), F.sum("_w").alias("t")).first()
         err = (agg["e"] or 0.0) / (agg["t"] or 1.0)
         if err >= 0.5:
             break
         err = max(err, 1e-10)
         alpha = math.log((1 - err) / err)
-        models.append(m)
+        trees.append(t)
         alphas.append(alpha)
         if err <= 1e-10:
             break
-        cur = pred.select(*feats, "label", (F.col("_w") * F.exp(F.lit(alpha) * F.col("_miss"))).alias("_w"))
+        cur = pred.select("features", "label", (F.col("_w") * F.exp(F.lit(alpha) * F.col("_miss"))).alias("_w"))
         if (r + 1) % checkpoint_every == 0:
             cur = reliable_checkpoint(cur)
-    return BoostedStumps(models, alphas, feats)
+    return BoostedStumps(prep_model, trees, alphas, feats)
 
 
 # --- J13 stacking ----------------------------------------------------------------------------------

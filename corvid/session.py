@@ -21,6 +21,8 @@ _DEFAULT_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # only applies when this helper launches the JVM (local runs, tests)
+    "spark.driver.memory": "16g",
 }
 
 
