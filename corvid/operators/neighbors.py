@@ -166,7 +166,8 @@ def knn_classify(train: DataFrame, test: DataFrame, features, k: int = 5, id_col
 
 
 def smote(df: DataFrame, features: list[str], label: str = "label", id_col: str = "id", k: int = 5,
-          seed=42, block_rows: int = BLOCK_ROWS, return_synthetic_only: bool = False) -> DataFrame:
+          seed=42, block_rows: int = BLOCK_ROWS, return_synthetic_only: bool = False,
+          neighbours: str = "exact") -> DataFrame:
     """grow the minority class to the majority size with points
     x + u * (neighbour - x), the neighbour one of x's k nearest minority rows.
 
@@ -185,19 +186,28 @@ def smote(df: DataFrame, features: list[str], label: str = "label", id_col: str
     kk = min(k, m - 1)
     mino = df.where(F.col(label) == minority)
     ranked = class_rank(mino.withColumn("_k", seeded_md5(seed, id_col)), label, "_k", id_col, "_r").drop("_k")
-    nn = knn_exact(mino, mino, features, kk, id_col, None, True, block_rows)
+    # exact search is O(m^2) distance work inside the minority class; for a
+    # very large minority the LSH search (bounded candidate groups) is offered
+    nn = (knn_exact(mino, mino, features, kk, id_col, None, True, block_rows) if neighbours == "exact"
+          else knn_lsh(mino, features, kk, id_col, block_rows=block_rows))
     draws = (ranked.select(F.explode(F.sequence(F.col("_r"), F.lit(need).cast("long"), F.lit(m).cast("long")))
                            .alias("draw"))
              .withColumn("_base_r", md5_number(seeded_md5(seed, F.lit("b"), "draw")) % m + 1)
-             .withColumn("_nrank", md5_number(seeded_md5(seed, F.lit("n"), "draw")) % kk + 1)
+             .withColumn("_nh", md5_number(seeded_md5(seed, F.lit("n"), "draw")))
              .withColumn("_u", md5_unit(seeded_md5(seed, F.lit("u"), "draw"))))
     base = ranked.select(F.col("_r").alias("_base_r"), F.col(id_col).cast("long").alias("base_id"),
                          *[F.col(c).cast("double").alias(f"_b_{c}") for c in features])
     nbr = mino.select(F.col(id_col).cast("long").alias("nbr_id"),
                       *[F.col(c).cast("double").alias(f"_n_{c}") for c in features])
+    # neighbour rank = md5 mod (neighbours found) + 1; the exact search always
+    # finds kk, an approximate one may find fewer (none: the base itself)
+    found = nn.groupBy(F.col("qid").alias("base_id")).agg(F.count(F.lit(1)).alias("_nn"))
     syn = (draws.join(base, "_base_r")
+           .join(found, "base_id", "left")
+           .withColumn("_nrank", F.when(F.col("_nn") > 0, F.col("_nh") % F.col("_nn") + 1))
            .join(nn.select(F.col("qid").alias("base_id"), F.col("rank").alias("_nrank"),
-                           F.col("nid").alias("nbr_id")), ["base_id", "_nrank"])
+                           F.col("nid").alias("nbr_id")), ["base_id", "_nrank"], "left")
+           .withColumn("nbr_id", F.coalesce("nbr_id", "base_id"))
            .join(nbr, "nbr_id"))
     syn = syn.select("draw", "base_id", "nbr_id",
                      *[(F.col(f"_b_{c}") + F.col("_u") * (F.col(f"_n_{c}") - F.col(f"_b_{c}"))).alias(c)

@@ -108,3 +108,11 @@ def test_metrics_zero_division(spark):
     df = spark.createDataFrame([(0, 0, 0.1), (0, 0, 0.2)], "label int, pred int, score double")
     m = E.binary_metrics(df).first()
     assert m["precision"] == 0.0 and m["recall"] == 0.0 and m["f1"] == 0.0 and m["roc_auc"] is None
+
+
+def test_smote_lsh_keeps_all_draws(spark):
+    from corvid.operators.neighbors import smote
+    imb = views.imb(spark, SF_SMALL)
+    a = smote(imb, views.IMB_FEATURES, return_synthetic_only=True)
+    b = smote(imb, views.IMB_FEATURES, return_synthetic_only=True, neighbours="lsh")
+    assert a.count() == b.count() > 0
