@@ -54,7 +54,9 @@ def flagship(spark, sf):
     """A1 scan -> V_OBS -> B6 general label -> B7 binary filter -> F1 median
     fill -> fixed score -> E1 metrics with E2 counts."""
     base = views.obs(spark, sf)
-    lab = L.binary_filter(L.map_label(base, "disposition", "general"))
+    # several passes follow (median bracket, metrics, AUC): keep the labelled
+    # rows once (memory and disk) instead of re-aggregating lineitem per pass
+    lab = L.binary_filter(L.map_label(base, "disposition", "general")).select("label", "snr").persist()
     filled, _ = prep.impute_median(lab, lab, ["snr"])
     scored = (filled.withColumn("score", fixed_score())
               .withColumn("pred", (F.col("score") > 0.5).cast("int")))

@@ -23,7 +23,7 @@ def _r4_all(df, cols, keep):
 SELECT id, split, """ + ", ".join(f"coalesce({c}, m_{c}) AS {c}" for c in _F) + """
 FROM sp, med""")
 def impute_median(spark, sf):
-    sp = prep.stratified_split(views.sig(spark, sf), test_size=0.2, seed=42)
+    sp = prep.stratified_split(views.sig(spark, sf).persist(), test_size=0.2, seed=42).persist()
     filled, _ = prep.impute_median(sp.where(F.col("split") == "train"), sp, _F)
     # not rounded: raw features are exact decimals (rounding would hit ties)
     # and the interpolated medians are computed with the same formula
@@ -59,7 +59,8 @@ def class_weights(spark, sf):
 
 @key("split_stratified", split_sql("sig", "sp", 0.2, 42) + "SELECT id, label, split FROM sp")
 def split_stratified(spark, sf):
-    return prep.stratified_split(views.sig(spark, sf), test_size=0.2, seed=42).select("id", "label", "split")
+    sig = views.sig(spark, sf).select("id", "label").persist()   # counted, then ranked
+    return prep.stratified_split(sig, test_size=0.2, seed=42).select("id", "label", "split")
 
 
 @key("split_three_way", split_sql("sig", "s1", 0.15, 42)

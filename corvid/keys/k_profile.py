@@ -65,7 +65,7 @@ _DESC_FMT = ("count({c}) AS count, round(avg({c}), 4) AS mean, round(stddev_samp
 @key("describe", "\nUNION ALL\n".join(
     f"SELECT '{c}' AS feature, {i} AS position, {_DESC_FMT.format(c=c)} FROM obs" for i, c in enumerate(_F)))
 def describe(spark, sf):
-    return P.describe(views.obs(spark, sf), _F)
+    return P.describe(views.obs(spark, sf).select(*_F).persist(), _F)
 
 
 def _hist_sql():

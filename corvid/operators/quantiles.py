@@ -33,7 +33,7 @@ def _long(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float],
-                    accuracy: int = 10000, max_collect: int = 200_000) -> dict:
+                    accuracy: int = 10000, max_collect: int = 200_000, small_n: int = 5000) -> dict:
     """Return {(col, prob): value or None} for every column and probability."""
     if not cols:
         return {}
@@ -57,7 +57,7 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float],
                 continue
             h = (n - 1) * p
             k1, k2 = int(math.floor(h)), int(math.ceil(h))
-            if n <= max_collect:
+            if n <= small_n:          # small column: one fetch of all (value, count) pairs
                 lo, hi = row[f"lo{i}"], row[f"hi{i}"]
             else:
                 pa = dict(zip(brackets, row[f"pa{i}"]))
@@ -74,7 +74,7 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float],
     # a bracket that is the whole [min, max] range needs no histogram pass:
     # nothing lies below it and it holds all n values
     for t in pending:
-        t["full"] = t["n"] <= max_collect and t["lo"] == t["gmin"] and t["hi"] == t["gmax"]
+        t["full"] = t["n"] <= small_n and t["lo"] == t["gmin"] and t["hi"] == t["gmax"]
     for _ in range(64):
         if not pending:
             break
@@ -129,18 +129,26 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float],
                 t["lo"], t["hi"] = new_lo, new_hi
                 nxt.append(t)
         if collect_ids:
-            sub = tdf.where(F.col("task").isin(collect_ids))
+            # tasks with the same (column, bracket) share one fetch
+            rep: dict = {}
+            for j in collect_ids:
+                t = pending[j]
+                rep.setdefault((t["c"], float(t["lo"]), float(t["hi"])), j)
+            sub = tdf.where(F.col("task").isin(list(rep.values())))
             vals = (long.join(F.broadcast(sub), "c")
                     .where((F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi")))
                     .groupBy("task", "v").agg(F.count(F.lit(1)).alias("cnt")).collect())
             grouped: dict = {}
             for r in vals:
                 grouped.setdefault(r["task"], []).append((r["v"], r["cnt"]))
+            for lst in grouped.values():
+                lst.sort()
             for j in collect_ids:
                 t = pending[j]
+                src = rep[(t["c"], float(t["lo"]), float(t["hi"]))]
                 run = t["below"]
                 v1 = v2 = None
-                for v, cnt in sorted(grouped.get(j, [])):
+                for v, cnt in grouped.get(src, []):
                     if v1 is None and t["k1"] < run + cnt:
                         v1 = v
                     if v2 is None and t["k2"] < run + cnt:

@@ -20,8 +20,8 @@ def _np_q(vals, q):
     return v[lo] + (h - lo) * (v[hi] - v[lo])
 
 
-@pytest.mark.parametrize("max_collect", [200_000, 50])
-def test_exact_quantiles(spark, max_collect):
+@pytest.mark.parametrize("max_collect,small_n", [(200_000, 5000), (50, 0), (200_000, 0)])
+def test_exact_quantiles(spark, max_collect, small_n):
     rng = np.random.default_rng(1)
     a = rng.normal(size=3000).round(2).tolist()            # many ties
     b = [None if i % 7 == 0 else float(x) for i, x in enumerate(rng.exponential(size=3000))]
@@ -30,7 +30,8 @@ def test_exact_quantiles(spark, max_collect):
     d = [None] * 3000                                       # all null
     df = spark.createDataFrame(list(zip(a, b, c, d)), "a double, b double, c double, d double")
     probs = [0.0, 0.25, 0.5, 0.75, 1.0]
-    got = exact_quantiles(df, ["a", "b", "c", "d"], probs, accuracy=100, max_collect=max_collect)
+    got = exact_quantiles(df, ["a", "b", "c", "d"], probs, accuracy=100, max_collect=max_collect,
+                          small_n=small_n)
     for col, vals in (("a", a), ("b", b), ("c", c)):
         for p in probs:
             assert got[(col, p)] == pytest.approx(_np_q(vals, p), abs=1e-12), (col, p)
