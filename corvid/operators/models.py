@@ -40,6 +40,18 @@ from corvid.operators import prep
 from corvid.session import ensure_checkpoint_dir, reliable_checkpoint
 
 SEED = 42
+# iterative learners run one Spark job per tree level / iteration; tiny
+# partitions make that per-task overhead dominate.  Inputs are coalesced (no
+# shuffle) so that a task holds at least this many rows; large inputs keep
+# their partitioning.
+ROWS_PER_TASK = 50_000
+
+
+def right_size(df: DataFrame, rows: int | None = None) -> DataFrame:
+    rows = df.count() if rows is None else rows
+    current = df.rdd.getNumPartitions()
+    target = max(1, min(current, -(-rows // ROWS_PER_TASK)))
+    return df.coalesce(target) if target < current else df
 
 PRESETS = {
     "rf": dict(numTrees=100, maxDepth=20, minInstancesPerNode=1, balanced=True),
@@ -155,7 +167,7 @@ def fit(train: DataFrame, features: list[str], family: str, params: dict | None
         data = data.withColumn("_is_val", prep.seeded_md5(f"{SEED}val", id_col).substr(1, 8)
                                < F.lit(format(int(p["validation"] * 16 ** 8), "08x")))
     stages.append(_estimator(family, p, len(feats), weight))
-    model = Pipeline(stages=stages).fit(data)
+    model = Pipeline(stages=stages).fit(right_size(data))
     model._corvid = {"features": feats, "family": family}  # noqa: SLF001
     return model
 
@@ -238,6 +250,7 @@ def fit_adaboost(train: DataFrame, features: list[str], rounds: int = 100, depth
                           ).fit(train.limit(0))
     vec = prep_model.transform(train).select("features", F.col(label).cast("double").alias("label"))
     n = vec.count()
+    vec = right_size(vec, n)
     cur = reliable_checkpoint(vec.withColumn("_w", F.lit(1.0 / max(n, 1))))
     trees, alphas = [], []
     for r in range(rounds):

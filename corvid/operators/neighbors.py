@@ -31,7 +31,7 @@ from corvid.functions.hashing import md5_number, md5_unit, seeded_md5
 from corvid.operators.ranking import class_rank
 
 BLOCK_ROWS = 2048
-_Q_CHUNK = 128
+_Q_CHUNK = 64          # 64 x 2048 x 64 doubles = 67 MB per distance chunk
 
 
 def _vec(features: list[str] | str):
