@@ -231,7 +231,9 @@ def comparison_long(spark, sf):
     return E.comparison_long(comparison(spark, sf), "model")
 
 
-@key("eval_bundle")
+@key("eval_bundle", SS + roc_sql("ss") + f""", cm AS (SELECT {_CONF_SQL} FROM ss)
+SELECT {_metrics_sql('cm')}, (SELECT auc FROM {auc_sql('ss')}) AS roc_auc, tn, fp, fn, tp,
+  CAST(tn + fp + fn + tp AS BIGINT) AS n_samples, (SELECT count(*) FROM roc) AS n_roc_points FROM cm""")
 def eval_bundle(spark, sf):
     b = E.eval_bundle(scored_sig(spark, sf))
     m, cm = b["metrics"], b["confusion"]

@@ -98,8 +98,10 @@ def shapley_tree(spark, sf):
     return X.shapley_topk(sp.where(F.col("split") == "test"), FEATS, med, score, 5)
 
 
-@key("explain_first")
+@key("explain_first", _TOP_SQL + """SELECT id, feature, round(value, 4) AS value, rank FROM tk
+  WHERE rank <= 5 AND id = (SELECT min(id) FROM sig)""")
 def explain_first(spark, sf):
     """K6: after a batch upload, explain its first row."""
     f, med = _filled(spark, sf)
-    return X.shapley_topk(X.first_row(f), FEATS, med, _linear, 5)
+    top = X.shapley_topk(X.first_row(f), FEATS, med, _linear, 5)
+    return top.select("id", "feature", F.round("value", 4).alias("value"), "rank")
