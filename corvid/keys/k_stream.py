@@ -27,7 +27,7 @@ def stream_append(spark, sf):
     schema = b1.schema
     q = ST.continuous_master_append(spark, f"{root}/drop/*", schema, f"{root}/master", f"{root}/ckpt")
     ST.run_to_end(q)
-    return io.read_versioned(spark, f"{root}/master")
+    return ST.read_master(spark, f"{root}/master")
 
 
 @key("stream_score")

@@ -125,3 +125,20 @@ def test_report_text(spark, tmp_path):
     io.report_text(class_report(df), str(tmp_path / "rep"))
     lines = [r[0] for r in spark.read.text(str(tmp_path / "rep")).collect()]
     assert len(lines) == 5 and any("weighted avg" in x for x in lines)
+
+
+def test_stream_append_across_many_micro_batches(spark):
+    from corvid.keys.k_sources import _batches
+    from corvid.streaming import stream as ST
+    root = scratch_dir(spark, f"t-stream-{uuid.uuid4().hex}")
+    b1, b2 = _batches(spark, SF_SMALL)
+    b1.repartition(3).write.parquet(f"{root}/drop/b1")
+    b2.repartition(3).write.parquet(f"{root}/drop/b2")
+    q = ST.continuous_master_append(spark, f"{root}/drop/*", b1.schema, f"{root}/master", f"{root}/ckpt",
+                                    max_files_per_trigger=1)
+    ST.run_to_end(q)
+    got = ST.read_master(spark, f"{root}/master")
+    parts = spark.read.parquet(f"{root}/master").select("_batch").distinct().count()
+    assert parts > 1                                     # several micro-batches ran
+    want = io.append_master(b2, b1)
+    assert got.count() == want.count() == got.unionByName(want).distinct().count()
