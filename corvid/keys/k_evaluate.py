@@ -191,7 +191,7 @@ def scorer_long(spark, sf):
                       (F.least(F.floor(F.coalesce(F.col(c), F.lit(0.0)) / d), F.lit(100)).cast("double")
                        / 100.0).alias("score")) for m, (c, d) in SCORERS.items()]
     long = s.select("id", "label", F.explode(F.array(*items)).alias("s")).select("id", "label", "s.*")
-    return long.withColumn("pred", (F.col("score") > 0.5).cast("int"))
+    return long.withColumn("pred", (F.col("score") > 0.5).cast("int")).persist()
 
 
 SCORER_LONG_SQL = ", sl AS (" + " UNION ALL ".join(

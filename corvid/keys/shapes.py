@@ -47,13 +47,6 @@ FROM obs
 """
 
 
-def _status_text(spark, sf, mapping_f, mapping_o, mapping_p) -> DataFrame:
-    o = load(spark, sf, "orders").select("o_orderkey", "o_orderstatus")
-    return o.select(F.col("o_orderkey").alias("id"),
-                    F.when(F.col("o_orderstatus") == "F", mapping_f)
-                    .when(F.col("o_orderstatus") == "O", mapping_o).otherwise(mapping_p).alias("disp"))
-
-
 def toi_like(spark: SparkSession, sf: str) -> DataFrame:
     o = views.obs(spark, sf)
     return o.select(
@@ -135,10 +128,13 @@ FIXED_SCORE_SQL = "CAST(least(floor(coalesce(snr, 0.0) / 200.0), 100) AS DOUBLE)
 
 
 def scored_sig(spark: SparkSession, sf: str) -> DataFrame:
-    """V_SIG with the fixed score and its strict 0.5 threshold class."""
+    """V_SIG with the fixed score and its strict 0.5 threshold class.
+    Evaluation reads it several times (counts, score buckets, running sums),
+    so the narrow result is persisted (memory and disk) once."""
     s = views.sig(spark, sf)
     return (s.withColumn("score", fixed_score())
-            .withColumn("pred", (F.col("score") > 0.5).cast("int")))
+            .withColumn("pred", (F.col("score") > 0.5).cast("int"))
+            .select("id", "label", "score", "pred").persist())
 
 
 SCORED_SIG_SQL = f"""
