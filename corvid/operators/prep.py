@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from corvid.functions.hashing import md5_number, seeded_md5
 from corvid.operators.quantiles import exact_quantiles
-from corvid.operators.ranking import class_rank
+from corvid.operators.ranking import bucket_counts, class_rank, totals
 
 DEFAULT_SEED = 42
 
@@ -122,10 +122,10 @@ def stratified_split(df: DataFrame, label_col: str = "label", id_col: str = "id"
                      test_size: float = 0.2, seed=DEFAULT_SEED, split_col: str = "split",
                      names: tuple = ("train", "test")) -> DataFrame:
     """the first quota rows of each class in md5(seed|id) order are test."""
-    counts = class_counts_local(df, label_col)
-    quotas = test_quotas(counts, test_size)
     keyed = df.withColumn("_k", seeded_md5(seed, id_col))
-    ranked = class_rank(keyed, label_col, "_k", id_col, "_r")
+    bc = bucket_counts(keyed, label_col, "_k")          # one bounded pass: classes x buckets
+    quotas = test_quotas(totals(bc), test_size)
+    ranked = class_rank(keyed, label_col, "_k", id_col, "_r", counts=bc)
     out = ranked.withColumn(split_col, F.when(F.col("_r") <= _quota_col(label_col, quotas), F.lit(names[1]))
                             .otherwise(F.lit(names[0])))
     return out.drop("_k", "_r")
@@ -156,12 +156,13 @@ def undersample(df: DataFrame, label_col: str = "label", id_col: str = "id",
     """F8: every class cut to the smallest class size; < 2 classes unchanged.
     Adds ``order_key`` (F11: the shuffled order is a hash, not a row order)."""
     df = df.where(F.col(label_col).isNotNull())
-    counts = class_counts_local(df, label_col)
+    keyed = df.withColumn("_k", seeded_md5(seed, id_col))
+    bc = bucket_counts(keyed, label_col, "_k")
+    counts = totals(bc)
     if len(counts) < 2:
         return df
     m = min(counts.values())
-    keyed = df.withColumn("_k", seeded_md5(seed, id_col))
-    ranked = class_rank(keyed, label_col, "_k", id_col, "_r")
+    ranked = class_rank(keyed, label_col, "_k", id_col, "_r", counts=bc)
     return (ranked.where(F.col("_r") <= m).withColumn("order_key", seeded_md5(f"{seed}s", id_col))
             .drop("_k", "_r"))
 
@@ -176,15 +177,16 @@ def oversample(df: DataFrame, label_col: str = "label", id_col: str = "id",
     class; the draws are fetched by an equi-join on the unique (class, rank).
     Output: the source columns plus ``draw`` and ``src_id``."""
     df = df.where(F.col(label_col).isNotNull())
-    counts = class_counts_local(df, label_col)
+    keyed = df.withColumn("_k", seeded_md5(seed, id_col))
+    bc = bucket_counts(keyed, label_col, "_k")
+    counts = totals(bc)
     if len(counts) < 2:
         return df
     big = max(counts.values())
     ncol = None
     for c, k in counts.items():
         ncol = F.when(F.col(label_col) == c, F.lit(k)) if ncol is None else ncol.when(F.col(label_col) == c, F.lit(k))
-    keyed = df.withColumn("_k", seeded_md5(seed, id_col))
-    ranked = class_rank(keyed, label_col, "_k", id_col, "_r").drop("_k").withColumn("_n", ncol)
+    ranked = class_rank(keyed, label_col, "_k", id_col, "_r", counts=bc).drop("_k").withColumn("_n", ncol)
     draws = (ranked.select(label_col, "_n", F.explode(F.sequence(F.col("_r"), F.lit(big).cast("long"),
                                                                    F.col("_n").cast("long"))).alias("draw"))
              .withColumn("_pick", md5_number(seeded_md5(seed, label_col, "draw")) % F.col("_n") + 1)

@@ -26,12 +26,6 @@ from pyspark.sql import functions as F
 N_BINS = 1024
 
 
-def _long(df: DataFrame, cols: list[str]) -> DataFrame:
-    packed = F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("v")) for c in cols])
-    out = df.select(F.explode(packed).alias("s")).select("s.c", "s.v")
-    return out.where(F.col("v").isNotNull() & ~F.isnan("v"))
-
-
 def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float],
                     accuracy: int = 10000, max_collect: int = 200_000, small_n: int = 5000) -> dict:
     """Return {(col, prob): value or None} for every column and probability."""
@@ -68,30 +62,34 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float],
     if not tasks:
         return result
 
-    long = _long(df, sorted({t["c"] for t in tasks}))
-    spark = df.sparkSession
     pending = tasks
     # a bracket that is the whole [min, max] range needs no histogram pass:
     # nothing lies below it and it holds all n values
     for t in pending:
         t["full"] = t["n"] <= small_n and t["lo"] == t["gmin"] and t["hi"] == t["gmax"]
+
+    def _value(c):
+        v = F.col(c).cast("double")
+        return F.when(~F.isnan(v), v)
+
     for _ in range(64):
         if not pending:
             break
-        tdf = spark.createDataFrame(
-            [(j, t["c"], float(t["lo"]), float(t["hi"])) for j, t in enumerate(pending)],
-            "task int, c string, lo double, hi double")
-        joined = long.join(F.broadcast(tdf), "c")
-        width = F.col("hi") - F.col("lo")
-        binc = (F.when(F.col("v") < F.col("lo"), F.lit(-1))
-                .when(F.col("v") > F.col("hi"), F.lit(-2))
-                .when(width == 0, F.lit(0))
-                .otherwise(F.least(F.floor((F.col("v") - F.col("lo")) / width * N_BINS).cast("int"),
-                                   F.lit(N_BINS - 1))))
+        # brackets are literals (a handful per column): one explode, no join
         need_hist = [j for j, t in enumerate(pending) if not t.get("full")]
-        hist = [] if not need_hist else (
-            joined.where(F.col("task").isin(need_hist))
-            .groupBy("task", binc.alias("bin")).agg(F.count(F.lit(1)).alias("cnt")).collect())
+        hist = []
+        if need_hist:
+            items = []
+            for j in need_hist:
+                t = pending[j]
+                v, lo, hi = _value(t["c"]), float(t["lo"]), float(t["hi"])
+                inner = (F.least(F.floor((v - F.lit(lo)) / F.lit(hi - lo) * N_BINS).cast("int"), F.lit(N_BINS - 1))
+                         if hi > lo else F.lit(0))
+                b = F.when(v < F.lit(lo), F.lit(-1)).when(v > F.lit(hi), F.lit(-2)).otherwise(inner)
+                items.append(F.struct(F.lit(j).alias("task"), F.when(v.isNotNull(), b).alias("bin")))
+            hist = (df.select(F.explode(F.array(*items)).alias("s")).select("s.*")
+                    .where(F.col("bin").isNotNull())
+                    .groupBy("task", "bin").agg(F.count(F.lit(1)).alias("cnt")).collect())
         per: dict = {}
         for r in hist:
             per.setdefault(r["task"], {})[r["bin"]] = r["cnt"]
@@ -134,9 +132,13 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float],
             for j in collect_ids:
                 t = pending[j]
                 rep.setdefault((t["c"], float(t["lo"]), float(t["hi"])), j)
-            sub = tdf.where(F.col("task").isin(list(rep.values())))
-            vals = (long.join(F.broadcast(sub), "c")
-                    .where((F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi")))
+            items = []
+            for (c, lo, hi), j in rep.items():
+                v = _value(c)
+                items.append(F.struct(F.lit(j).alias("task"),
+                                      F.when((v >= F.lit(lo)) & (v <= F.lit(hi)), v).alias("v")))
+            picked = F.filter(F.array(*items), lambda x: x["v"].isNotNull())
+            vals = (df.select(F.explode(picked).alias("s")).select("s.*")
                     .groupBy("task", "v").agg(F.count(F.lit(1)).alias("cnt")).collect())
             grouped: dict = {}
             for r in vals:
