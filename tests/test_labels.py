@@ -1,7 +1,6 @@
 """Label policies on hand-made edge cases (every policy, padded, mixed
 case, codes, numeric text, null, unknown)."""
 
-from pyspark.sql import functions as F
 
 from corvid.functions import labels as L
 
@@ -51,4 +50,3 @@ def test_find_label_column(spark):
     assert L.find_label_column(df) == "koi_pdisposition"
     assert L.find_label_column(df, L.LABEL_PREFERENCE) == "koi_disposition"
     assert L.find_label_column(df.select("kepid")) is None
-    assert F
