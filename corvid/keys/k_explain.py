@@ -20,7 +20,7 @@ FEATS = list(COEF)
 
 def _filled(spark, sf):
     """V_SIG with nulls filled by the exact medians; returns (frame, medians)."""
-    s = views.sig(spark, sf)
+    s = views.sig(spark, sf).persist()      # read by the median passes and the expansion
     med = prep.fit_median(s, FEATS)
     return prep.apply_fill(s, med), med
 

@@ -41,12 +41,11 @@ def shapley(df: DataFrame, features: list[str], baseline: dict,
     size = F.bit_count(F.col("_m"))
     nf = float(factorial(n))
 
+    # |S|! (n - |S| - 1)! / n! for |S| in 0..n-1, looked up in a literal array
+    weights = F.array(*[F.lit(factorial(k) * factorial(n - k - 1) / nf) for k in range(n)])
+
     def weight(sz: Column) -> Column:
-        # |S|! (n - |S| - 1)! / n! for |S| in 0..n-1, as a literal lookup
-        expr = F.lit(0.0)
-        for s in range(n):
-            expr = F.when(sz == s, F.lit(factorial(s) * factorial(n - s - 1) / nf)).otherwise(expr)
-        return expr
+        return F.try_element_at(weights, sz + 1)
     aggs = []
     for i, c in enumerate(features):
         has = (F.col("_m").bitwiseAND(F.lit(1 << i))) != 0
