@@ -51,3 +51,21 @@ def test_class_rank_equals_plain_window(spark):
     assert j.count() == 4000
     n0 = sum(1 for _, lab in rows if lab == 0)
     assert got.where("label = 0").select(F.max("n")).first()[0] == n0
+
+
+from hypothesis import HealthCheck, given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.one_of(st.none(), st.integers(-50, 50).map(float), st.floats(-1e6, 1e6)),
+                min_size=1, max_size=300),
+       st.sampled_from([0.0, 0.1, 0.5, 0.9, 1.0]))
+def test_exact_quantiles_property(spark, values, q):
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    got = exact_quantiles(df, ["x"], [q], accuracy=50, max_collect=20, small_n=0)[("x", q)]
+    want = _np_q(values, q)
+    if want is None:
+        assert got is None
+    else:
+        assert got == pytest.approx(want, rel=1e-12, abs=1e-9)
