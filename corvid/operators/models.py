@@ -13,6 +13,8 @@ tree depth becomes 20):
 * gbt_hist  100 rounds, step 0.1, depth 10
 * gbt_xgb   100 rounds, step 0.1, depth 6
 * gbt_cat   500 rounds, step 0.05, depth 8, 128 bins, early stop on a 20 % validation slice
+            (Spark stops at the first round improving validation loss by less than
+            validationTol = 0.01 relative; there is no 50-round patience window)
 * gbt       100 rounds, depth 3
 * logreg    1,000 iterations, balanced weights
 * dt        depth 20, balanced weights
