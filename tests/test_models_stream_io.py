@@ -142,3 +142,20 @@ def test_stream_append_across_many_micro_batches(spark):
     assert parts > 1                                     # several micro-batches ran
     want = io.append_master(b2, b1)
     assert got.count() == want.count() == got.unionByName(want).distinct().count()
+
+
+def test_right_size_bounds(spark):
+    df = spark.range(0, 100_000, numPartitions=40)
+    assert M.right_size(df).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism   # coalesced
+    one = spark.range(0, 100_000, numPartitions=1)
+    assert M.right_size(one).rdd.getNumPartitions() == min(spark.sparkContext.defaultParallelism, 20)
+    tiny = spark.range(0, 3_000, numPartitions=1)
+    assert M.right_size(tiny).rdd.getNumPartitions() == 1       # not worth splitting
+
+
+def test_validate_manual(spark):
+    df = spark.createDataFrame([(1.0, 1.0, 1.0, 1.0, "PLANET"), (None, 1.0, 1.0, 1.0, "PLANET"),
+                                (1.0, 1.0, 1.0, 1.0, "MAYBE")],
+                               "koi_period double, koi_duration double, koi_depth double, koi_prad double, label string")
+    v = [r["valid"] for r in io.validate_manual(df).collect()]
+    assert v == [True, False, False]
