@@ -123,8 +123,11 @@ def train_job(spark, upload: DataFrame, out_dir: str, label_col: str | None = No
     split = prep.stratified_split(lab, test_size=test_size)
     persist_split(split, f"{out_dir}/split", id_col)
     split = lab.join(spark.read.parquet(f"{out_dir}/split"), id_col)
-    train = prep.balance(split.where(F.col("split") == "train"), balance, feats, "label", id_col)
-    test = split.where(F.col("split") == "test")
+    # every family runs several passes (medians, weights, training): the
+    # balanced train side (SMOTE includes a neighbour search) and the test
+    # side are computed once and kept (memory and disk)
+    train = prep.balance(split.where(F.col("split") == "train"), balance, feats, "label", id_col).persist()
+    test = split.where(F.col("split") == "test").persist()
     metrics = {}
     for fam in families:
         m = M.fit(train, feats, fam, (params or {}).get(fam), "label", id_col)
@@ -132,4 +135,6 @@ def train_job(spark, upload: DataFrame, out_dir: str, label_col: str | None = No
         if hasattr(m, "write"):
             M.save(m, f"{out_dir}/models/{fam}")
     io.append_history(spark, f"{out_dir}/history", lab.count(), len(feats), metrics, params or {}, True)
+    train.unpersist()
+    test.unpersist()
     return {"features": feats, "metrics": metrics, "families": list(families)}
