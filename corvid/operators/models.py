@@ -174,8 +174,9 @@ def fit(train: DataFrame, features: list[str], family: str, params: dict | None
               VectorAssembler(inputCols=[f"{c}__x" for c in feats], outputCol="features", handleInvalid="error")]
     data = train.withColumn("label", F.col(label).cast("double"))
     weight = None
+    counts = prep.class_counts_local(data, "label")     # one row per class; also sizes partitions
     if p.get("balanced"):
-        w = prep.balanced_weights(prep.class_counts_local(data, "label"))   # one row per class
+        w = prep.balanced_weights(counts)
         if w is not None:
             expr = F.lit(None).cast("double")
             for c, v in w.items():
@@ -185,7 +186,7 @@ def fit(train: DataFrame, features: list[str], family: str, params: dict | None
         data = data.withColumn("_is_val", prep.seeded_md5(f"{SEED}val", id_col).substr(1, 8)
                                < F.lit(format(int(p["validation"] * 16 ** 8), "08x")))
     stages.append(_estimator(family, p, len(feats), weight))
-    model = Pipeline(stages=stages).fit(right_size(data))
+    model = Pipeline(stages=stages).fit(right_size(data, sum(counts.values())))
     model._corvid = {"features": feats, "family": family}  # noqa: SLF001
     return model
 
