@@ -92,6 +92,15 @@ DISPLAY = {"rf": "Random Forest", "gbt_hist": "HistGradientBoosting", "gbt_xgb":
            "stacking": "Stacking"}
 
 
+# binary nominal label metadata: classifiers then skip the job that scans the
+# label column to count classes (once per fit, once per boosting round)
+_BINARY_LABEL = {"ml_attr": {"type": "nominal", "num_vals": 2, "name": "label"}}
+
+
+def binary_label(c) -> "F.Column":
+    return (F.col(c) if isinstance(c, str) else c).cast("double").alias("label", metadata=_BINARY_LABEL)
+
+
 def _lit(v: float) -> str:
     return f"CAST('{float(v)!r}' AS DOUBLE)"
 
@@ -172,7 +181,7 @@ def fit(train: DataFrame, features: list[str], family: str, params: dict | None
     scales = prep.fit_standard(prep.apply_fill(train, medians), feats) if p.get("scale") else None
     stages = [prep_transformer(feats, medians, scales),
               VectorAssembler(inputCols=[f"{c}__x" for c in feats], outputCol="features", handleInvalid="error")]
-    data = train.withColumn("label", F.col(label).cast("double"))
+    data = train.withColumn("label", binary_label(label))
     weight = None
     counts = prep.class_counts_local(data, "label")     # one row per class; also sizes partitions
     if p.get("balanced"):
@@ -267,7 +276,7 @@ def fit_adaboost(train: DataFrame, features: list[str], rounds: int = 100, depth
     prep_model = Pipeline(stages=[prep_transformer(feats, medians),
                                   VectorAssembler(inputCols=[f"{c}__x" for c in feats], outputCol="features")]
                           ).fit(train.limit(0))
-    vec = prep_model.transform(train).select("features", F.col(label).cast("double").alias("label"))
+    vec = prep_model.transform(train).select("features", binary_label(label))
     n = vec.count()
     vec = right_size(vec, n)
     cur = reliable_checkpoint(vec.withColumn("_w", F.lit(1.0 / max(n, 1))))
