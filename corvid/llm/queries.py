@@ -6,8 +6,13 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corvid.llm import byte_bpe, packing, token_files
-from corvid.llm.common import table
+from corvid.llm import byte_bpe, ecoc_language, packing, rule_ledger, simhash, token_files, warc
+from corvid.llm.common import materialise, table
+
+
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = warc.write_archives(table(spark, sf_dir, "pages"))
+    return warc.read_archives(materialise(warc.merge_index(runs), "capture-index"))
 
 
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,14 +27,31 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                                   public_tokenizers.PATTERN)
 
 
+def op6_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rule_ledger.judge(table(spark, sf_dir, "documents"), policy="v2")
+
+
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ecoc_language.held_out_identify(table(spark, sf_dir, "documents"), folds=4, fold=2) \
+        .select("doc_id", "held_out", "lang_pred", "score", "ambiguous")
+
+
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, distance=4)
+
+
 def op10_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
 
 
 QUERIES = {
+    "op1_warc": op1_warc,
     "op2_token_files": op2_token_files,
     "op3_byte_bpe": op3_byte_bpe,
+    "op6_rule_ledger": op6_rule_ledger,
+    "op7_language": op7_language,
+    "op8_simhash": op8_simhash,
     "op10_best_fit": op10_best_fit,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op6_rule_ledger": rule_ledger.ORACLE}
