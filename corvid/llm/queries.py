@@ -6,7 +6,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corvid.llm import byte_bpe, ecoc_language, packing, rule_ledger, simhash, token_files, warc
+from corvid.llm import (byte_bpe, ecoc_language, hash_forest, packing, rule_ensemble, rule_ledger, simhash,
+                        super_kmers, token_files, warc)
 from corvid.llm.common import materialise, table
 
 
@@ -27,6 +28,14 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                                   public_tokenizers.PATTERN)
 
 
+def op4_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rule_ensemble.held_out_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), folds=5, held=0)
+
+
+def op5_hash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hash_forest.neighbours(table(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
 def op6_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rule_ledger.judge(table(spark, sf_dir, "documents"), policy="v2")
 
@@ -40,6 +49,10 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, distance=4)
 
 
+def op9_super_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return super_kmers.dedup_report(table(spark, sf_dir, "documents"), window=35)
+
+
 def op10_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
 
@@ -48,9 +61,12 @@ QUERIES = {
     "op1_warc": op1_warc,
     "op2_token_files": op2_token_files,
     "op3_byte_bpe": op3_byte_bpe,
+    "op4_rule_ensemble": op4_rule_ensemble,
+    "op5_hash_forest": op5_hash_forest,
     "op6_rule_ledger": op6_rule_ledger,
     "op7_language": op7_language,
     "op8_simhash": op8_simhash,
+    "op9_super_kmers": op9_super_kmers,
     "op10_best_fit": op10_best_fit,
 }
 

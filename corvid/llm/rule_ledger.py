@@ -12,8 +12,8 @@ one document and sorted, so a document of n words costs n log n steps.
 
 Edge cases: a null or empty text has no words, zero in every measure and fails
 ``few_words``; a null doc_id stays null; repeated rows are judged each for
-itself; an empty table gives an empty result; other columns are kept by
-``with_ledger`` and clashing names are replaced by the ledger's.
+itself; an empty table gives an empty result; other columns are ignored by
+``judge`` and kept, whatever their names, by ``kept_rows``.
 """
 
 from __future__ import annotations
@@ -71,13 +71,13 @@ def repeat_words(words: Column) -> Column:
 
 
 def with_ledger(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """All columns of docs, the measures and ``failed`` (a bit per failed rule)."""
+    """All columns of docs, the measures and ``failed`` (a bit per failed rule);
+    columns of these names are replaced."""
     text = text_of(text_col)
     less = lambda chars: F.length(F.translate(text, chars, ""))
     words = F.array_remove(F.split(text, WORD_GAP), "")
     lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, GAPS, "")) > 0)
-    df = docs.drop(*MEASURES, "failed", "_words", "_lines") if set(docs.columns) & {*MEASURES, "failed"} else docs
-    df = df.withColumns({"_words": words, "_lines": lines})
+    df = docs.withColumns({"_words": words, "_lines": lines})
     df = df.withColumns({
         "n_words": F.size("_words").cast("long"),
         "word_chars": less(GAPS).cast("long"),
@@ -128,6 +128,14 @@ def judge(docs: DataFrame, policy: str = "v2", id_col: str = "doc_id", text_col:
     return ledger.select("doc_id", *MEASURES, "failed", (~passes("base")).alias("base_failed"), passes(policy).alias("kept"))
 
 
+def kept_rows(docs: DataFrame, policy: str = "v2", text_col: str = "text") -> DataFrame:
+    """The rows of docs that a policy keeps, with all their columns."""
+    ledger = with_ledger(docs.select(F.struct("*").alias("row"), F.col(text_col).alias("text")))
+    # the bits pass an explode, so the filter stays above the measures instead
+    # of being pushed below them with every measure written out again
+    return ledger.select("row", F.explode(F.array("failed")).alias("failed")).filter(passes(policy)).select("row.*")
+
+
 #: DuckDB's statement of ``judge`` with policy v2.
 ORACLE = r"""
 WITH t AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),

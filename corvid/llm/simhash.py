@@ -65,16 +65,18 @@ def fingerprint(text: str | None, shingle: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
-    """(doc_id, fp): the fingerprint's bits as a signed long."""
+    """(doc_id, h, fp): h tells texts of one id apart; fp holds the
+    fingerprint's bits as a signed long."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = np.array([fingerprint(t, shingle) for t in batch.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+            fp = np.array([fingerprint(t, shingle) for t in batch.column(2).to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(fp.view(np.int64))], ["doc_id", "h", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")) \
-        .mapInArrow(run, "doc_id long, fp long")
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text")) \
+        .mapInArrow(run, "doc_id long, h long, fp long")
 
 
 def segment_counts(fp: np.ndarray) -> np.ndarray:
@@ -220,3 +222,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     groups = near_groups(docs, id_col, text_col, shingle, distance, prints)
     return prints.join(groups, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4,
+                distance: int = 4) -> DataFrame:
+    """The rows of docs whose id is the smallest of their component, one row
+    per component, with all columns."""
+    prints = materialise(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
+    groups = near_groups(docs, id_col, text_col, shingle, distance, prints)
+    # ids before null; of rows that share the smallest id the smallest text hash
+    keep = prints.join(groups, "fp").groupBy("group").agg(F.min(F.struct(
+        F.col("doc_id").isNull().alias("no_id"), "doc_id", "h")).alias("m")) \
+        .select(F.coalesce("m.doc_id", F.lit(-(1 << 63))).alias("k"), F.col("m.h").alias("h"))
+    k = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
+    rows = docs.select(F.struct("*").alias("row"), k.alias("k"), F.xxhash64(F.col(text_col).cast("string")).alias("h"))
+    return rows.join(keep, ["k", "h"], "left_semi").dropDuplicates(["k", "h"]).select("row.*")
