@@ -140,8 +140,10 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
                     ["mini", "rid", "pos"])
 
     places = rows.select("rid", "text").mapInArrow(slim, "mini long, rid long, pos long")
-    counts = places.groupBy("mini").agg(F.count(F.lit(1)).alias("c")).filter("c > 1") \
-        .select("mini", (F.col("c") > hot).alias("hot"))
+    # written first: adaptive execution can split a hot minimiser only where both
+    # sides of the join come straight from a shuffle
+    counts = materialise(places.groupBy("mini").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+                         .select("mini", (F.col("c") > hot).alias("hot")), "repeated-minimisers")
     wanted = places.join(counts, "mini").groupBy("rid") \
         .agg(F.collect_set(F.struct("pos", "mini", "hot")).alias("marks"))
     touched = materialise(rows.join(wanted, "rid"), "repeat-candidates")
@@ -206,7 +208,7 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
         .mapInArrow(count, "p1 long, p2 long, flags long")
     single = packed.filter("hot").groupBy("packed", "p1", "p2").agg(F.count(F.lit(1)).alias("c")) \
         .filter("c > 1").select("p1", "p2", F.lit(1).cast("long").alias("flags"))
-    flags = cold.unionByName(single).groupBy("p1", "p2").agg(F.bit_or("flags").alias("flags"))
+    flags = materialise(cold.unionByName(single).groupBy("p1", "p2").agg(F.bit_or("flags").alias("flags")), "repeated-windows")
     marked = packed.select("rid", "k", "start", "n", "p1", "p2").join(flags, ["p1", "p2"]) \
         .groupBy("rid", "k").agg(F.collect_set(F.struct("start", "n", "flags")).alias("runs"))
 
