@@ -26,10 +26,12 @@ def components(edges: DataFrame) -> DataFrame:
     state = _state(now)
     while state[0]:
         sym = now.select(F.inline(both))
-        least = sym.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # minima are written before they are joined: adaptive execution can split
+        # a hub only where both sides of the join come straight from a shuffle
+        least = materialise(sym.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "minima")
         large = sym.filter("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")) \
             .filter("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        low = materialise(large.groupBy("a").agg(F.min("b").alias("m")), "minima")
         small = large.join(low, "a").select(F.inline(F.array(
             F.struct(F.col("b").alias("a"), F.col("m").alias("b")),
             F.struct(F.col("a").alias("a"), F.col("m").alias("b"))))).filter("a <> b").distinct()

@@ -172,7 +172,7 @@ def links(distinct: DataFrame, distance: int = 4, block: int = BLOCK, groups: in
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column(0)], ["cell", "fp"])
 
     keyed = distinct.select("fp").mapInArrow(cells, "cell long, fp long")
-    hot = keyed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > block)
+    hot = materialise(keyed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > block), "large-cells")
     own = F.pmod(F.xxhash64("fp"), F.col("k"))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1))
     dealt = keyed.join(hot, "cell", "left").withColumn("k", F.coalesce(F.ceil(F.col("n") / block), F.lit(1).cast("long"))) \
@@ -211,7 +211,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     root = components(links(distinct, distance))
     rooted = distinct.join(root, F.col("fp") == F.col("node"), "left") \
         .select("fp", "first", F.coalesce("root", "fp").alias("group"))
-    least = rooted.groupBy("group").agg(F.min("first").alias("component_id"))
+    # written first, so that adaptive execution can split a large component
+    least = materialise(rooted.groupBy("group").agg(F.min("first").alias("component_id")), "component-ids")
     return rooted.select("fp", "group").join(least, "group").select("fp", "component_id", "group")
 
 

@@ -152,6 +152,9 @@ def with_roles(pages: DataFrame, min_payload: int = 0) -> DataFrame:
                           F.octet_length("html").alias("size")) \
         .filter(F.col("size") >= min_payload).groupBy("digest") \
         .agg(F.max("page_id").alias("kept"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest", "kept")
+    # written first: adaptive execution can split a hot digest only where both
+    # sides of the join come straight from a shuffle
+    groups = materialise(groups, "payload-groups")
     joined = body.join(groups, "digest", "left")
     own = F.col("kept").isNull() | F.col("page_id").eqNullSafe(F.col("kept"))
     return joined.select("page_id", "url", "html", "captured", F.when(~own, F.col("kept")).alias("refers_to"))
