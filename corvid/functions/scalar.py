@@ -103,8 +103,8 @@ def format_pct(c) -> Column:
 
 
 def label_to_int(c) -> Column:
-    """Numeric text -> int; blank, null or text -> 0."""
-    return F.coalesce(F.trim(_c(c).cast("string")).try_cast("double").cast("int"), F.lit(0))
+    """Numeric text -> int; blank, null, NaN, text or out of range -> 0."""
+    return F.coalesce(F.trim(_c(c).cast("string")).try_cast("double").try_cast("int"), F.lit(0))
 
 
 def blank_to_zero(c) -> Column:

@@ -162,20 +162,23 @@ def importance_topk(spark, sf):
 
 @key("manual_rows", """SELECT id, period AS koi_period, duration AS koi_duration, depth AS koi_depth,
   prad AS koi_prad, snr AS koi_model_snr, st_teff AS koi_steff, st_rad AS koi_srad, label,
-  (period IS NOT NULL AND duration IS NOT NULL AND depth IS NOT NULL AND prad IS NOT NULL
-   AND label IN ('PLANET', 'NOT_PLANET')) AS valid,
-  CASE WHEN label = 'PLANET' THEN 'CONFIRMED' ELSE 'FALSE POSITIVE' END AS koi_disposition
-FROM (SELECT *, CASE WHEN disposition = 'FALSE POSITIVE' THEN 'NOT_PLANET' ELSE 'PLANET' END AS label FROM obs) o""")
+  valid, CASE WHEN NOT valid THEN NULL WHEN label = 'PLANET' THEN 'CONFIRMED' ELSE 'FALSE POSITIVE' END AS koi_disposition
+FROM (SELECT *, (period IS NOT NULL AND duration IS NOT NULL AND depth IS NOT NULL AND prad IS NOT NULL
+                 AND coalesce(label IN ('PLANET', 'NOT_PLANET'), false)) AS valid
+      FROM (SELECT *, CASE WHEN disposition = 'FALSE POSITIVE' THEN 'NOT_PLANET' WHEN disposition = 'CONFIRMED' THEN 'PLANET'
+                           WHEN id % 2 = 0 THEN 'MAYBE' END AS label FROM obs) l) o""")
 def manual_rows(spark, sf):
     """Manual records (here: V_OBS rows typed in through the manual
-    form schema) are validated and mapped so that they train."""
+    form schema, candidates with an unknown or no label) are validated, and
+    valid ones are mapped so that they train."""
     from corvid.sources import io
     o = views.obs(spark, sf)
     recs = o.select(F.col("id"), F.col("period").alias("koi_period"), F.col("duration").alias("koi_duration"),
                     F.col("depth").alias("koi_depth"), F.col("prad").alias("koi_prad"),
                     F.col("snr").alias("koi_model_snr"), F.col("st_teff").alias("koi_steff"),
                     F.col("st_rad").alias("koi_srad"),
-                    F.when(F.col("disposition") == "FALSE POSITIVE", "NOT_PLANET").otherwise("PLANET").alias("label"))
+                    F.when(F.col("disposition") == "FALSE POSITIVE", "NOT_PLANET")
+                    .when(F.col("disposition") == "CONFIRMED", "PLANET").when(F.col("id") % 2 == 0, "MAYBE").alias("label"))
     return io.validate_manual(recs)
 
 

@@ -28,7 +28,21 @@ def knn_exact(spark, sf):
     return nn.select("qid", "nid", F.round("dist", 4).alias("dist"), "rank")
 
 
-@key("knn_lsh")
+def _lsh_sql(dim: int = 64) -> str:
+    """The exact answer of the bucketed search: rows that share a bucket in a table."""
+    codes = []
+    for t, bits in enumerate(N.lsh_planes(dim)):
+        terms = " + ".join(f"CASE WHEN list_dot_product(v, [{', '.join(repr(float(x)) for x in p)}]::DOUBLE[]) >= 0 "
+                           f"THEN {1 << b} ELSE 0 END" for b, p in enumerate(bits))
+        codes.append(f"SELECT id, v, {t} AS t, {terms} AS code FROM emb")
+    return ", hashed AS MATERIALIZED (" + " UNION ALL ".join(codes) + """)
+, pairs AS (SELECT DISTINCT q.id AS qid, c.id AS nid, list_distance(q.v, c.v) AS d
+            FROM hashed q JOIN hashed c ON q.t = c.t AND q.code = c.code AND q.id <> c.id)
+SELECT qid, nid, round(d, 4) AS dist, rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY qid ORDER BY d, nid) AS rank FROM pairs) r WHERE rank <= 5"""
+
+
+@key("knn_lsh", _EMB_CTE + _lsh_sql())
 def knn_lsh(spark, sf):
     return N.knn_lsh(_emb(spark, sf), "embedding", 5).select("qid", "nid", F.round("dist", 4).alias("dist"), "rank")
 

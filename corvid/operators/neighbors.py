@@ -11,9 +11,10 @@ what an exact answer needs when the data has no exploitable structure (the
 driver's embeddings are random unit vectors: 5-NN label agreement is at
 chance level, so no index could prune).
 
-Approximate k-NN (``knn_lsh``) hashes by random hyperplanes (several tables),
-splits any bucket into sub-blocks of at most ``block_rows`` rows, and runs
-the same block search inside each (table, bucket, sub-block) only.
+Approximate k-NN (``knn_lsh``) hashes by random hyperplanes (several tables)
+and runs the same block search inside every (table, bucket): all pairs of a
+bucket's query blocks and candidate blocks, so no neighbour of the bucket is
+lost however small the blocks are.
 
 Ties are broken by candidate id everywhere, so results are deterministic.
 """
@@ -120,15 +121,21 @@ def knn_exact(queries: DataFrame, candidates: DataFrame, features, k: int = 5, i
     return out.drop("_g")
 
 
+def lsh_planes(dim: int, n_tables: int = 4, n_bits: int = 6, seed: int = 42) -> np.ndarray:
+    """Normals of the random hyperplanes, (table, bit, dimension)."""
+    return np.random.default_rng(seed).standard_normal((n_tables, n_bits, dim))
+
+
 def knn_lsh(df: DataFrame, features, k: int = 5, id_col: str = "id", n_tables: int = 4, n_bits: int = 6,
             seed: int = 42, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Approximate self k-NN: candidates are rows sharing a random-hyperplane
-    bucket in at least one of ``n_tables`` tables; buckets larger than
-    ``block_rows`` are cut into sub-blocks, so every group is bounded."""
+    """Approximate self k-NN: candidates are all rows sharing a
+    random-hyperplane bucket in at least one of ``n_tables`` tables.  A bucket
+    larger than ``block_rows`` is searched block against block, so groups are
+    bounded and the result does not depend on ``block_rows``.  ``n_bits`` sets
+    the bucket size: about log2(rows / rows wanted per bucket)."""
     base = df.select(F.col(id_col).cast("long").alias("id"), _vec(features).alias("_v"))
     dim = len(base.select("_v").first()[0])
-    rng = np.random.default_rng(seed)
-    planes = rng.standard_normal((n_tables, n_bits, dim))
+    planes = lsh_planes(dim, n_tables, n_bits, seed)
     tables = []
     for t in range(n_tables):
         code = F.lit(0)
@@ -142,10 +149,14 @@ def knn_lsh(df: DataFrame, features, k: int = 5, id_col: str = "id", n_tables: i
         hashed = hashed.unionByName(t)
     sizes = hashed.groupBy("_bucket").count()
     hashed = (hashed.join(F.broadcast(sizes), "_bucket")       # one row per bucket: bounded by 2^bits x tables
-              .withColumn("_sub", F.pmod(F.xxhash64("id"), F.ceil(F.col("count") / block_rows).cast("long"))))
-    grp = F.concat_ws("/", "_bucket", F.col("_sub").cast("string"))
-    q = hashed.select(grp.alias("_g"), F.col("id").alias("_id"), "_v", F.lit(0).alias("_role"))
-    c = hashed.select(grp.alias("_g"), F.col("id").alias("_id"), "_v", F.lit(1).alias("_role"))
+              .withColumn("_nb", F.ceil(F.col("count") / block_rows).cast("long"))
+              .withColumn("_own", F.pmod(F.xxhash64("id"), F.col("_nb")))
+              .withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_nb") - 1))))
+
+    def grp(qb, cb):
+        return F.concat_ws("/", "_bucket", F.col(qb).cast("string"), F.col(cb).cast("string")).alias("_g")
+    q = hashed.select(grp("_own", "_other"), F.col("id").alias("_id"), "_v", F.lit(0).alias("_role"))
+    c = hashed.select(grp("_other", "_own"), F.col("id").alias("_id"), "_v", F.lit(1).alias("_role"))
     parts = q.unionByName(c).groupBy("_g").applyInPandas(
         _block_topk(k, True), "_g string, qid long, nid long, dist double")
     dedup = parts.select("qid", "nid", "dist").dropDuplicates(["qid", "nid"]).withColumn("_g", F.lit(""))
@@ -177,7 +188,7 @@ def smote(df: DataFrame, features: list[str], label: str = "label", id_col: str
     resolved by equi-joins on unique keys."""
     counts = {r[0]: r[1] for r in df.groupBy(label).count().collect()}   # one row per class
     if len(counts) != 2:
-        return df
+        raise ValueError(f"SMOTE needs exactly two classes in {label!r}, found {len(counts)}")
     minority = min(counts, key=lambda c: (counts[c], c))
     m, big = counts[minority], max(counts.values())
     need = big - m

@@ -197,7 +197,7 @@ def oversample(df: DataFrame, label_col: str = "label", id_col: str = "id",
 
 def balance(df: DataFrame, method: str = "none", features: list[str] | None = None,
             label_col: str = "label", id_col: str = "id", seed=DEFAULT_SEED) -> DataFrame:
-    """dispatch; SMOTE falls back to its input on failure."""
+    """dispatch; a method that cannot work on its input raises."""
     if method == "none":
         return df
     if method == "undersample":
@@ -206,10 +206,7 @@ def balance(df: DataFrame, method: str = "none", features: list[str] | None = No
         return oversample(df, label_col, id_col, seed)
     if method == "smote":
         from corvid.operators.neighbors import smote
-        try:
-            return smote(df, features, label_col, id_col, seed=seed)
-        except Exception:  # noqa: BLE001 - documented fallback
-            return df
+        return smote(df, features, label_col, id_col, seed=seed)
     raise ValueError(f"unknown balancing method {method!r}")
 
 

@@ -37,10 +37,10 @@ def auc_summary(results: DataFrame, col: str = "roc_auc") -> DataFrame:
     return results.agg(F.round(F.avg(col), 4).alias("mean_auc"), F.max(col).alias("best_auc"))
 
 
-def recommend(results: DataFrame, quality: str, speed: str, name: str = "model") -> DataFrame:
-    """One model when the best is also the fastest, else both."""
+def recommend(results: DataFrame, quality: str, seconds: str, name: str = "model") -> DataFrame:
+    """One model when the best is also the fastest (fewest ``seconds``), else both."""
     best = _arg(results, quality, "max", name)
-    fast = _arg(results, speed, "max", name)
+    fast = _arg(results, seconds, "min", name)
     rows = [("best", best)] + ([("fastest", fast)] if fast != best else [])
     return results.sparkSession.createDataFrame(rows, "role string, model string")
 

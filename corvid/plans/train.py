@@ -73,20 +73,22 @@ def compare_models(train: DataFrame, test: DataFrame, features: list[str], famil
 
 def train_per_source(df: DataFrame, source_col: str, features: list[str], family: str,
                      test_size: float = 0.2, min_rows: int = 30) -> DataFrame:
-    """One model per source and one on the union; sources under
-    ``min_rows`` are skipped."""
+    """One model per source and one on the union; a source under
+    ``min_rows`` keeps its row, with its count and null metrics."""
     sources = [r[0] for r in df.select(source_col).distinct().collect()]   # bounded: source list
     rows = []
     for name in sorted(sources) + [None]:
         part = df if name is None else df.where(F.col(source_col) == name)
-        if not part.limit(min_rows).count() >= min_rows:
+        n = part.count()
+        if n < min_rows:
+            rows.append((name or "ALL", n, *[None] * len(METRICS)))
             continue
         sp = prep.stratified_split(part, test_size=test_size).cache()
         m = M.fit(sp.where(F.col("split") == "train"), features, family)
         met = _metrics(M.score(m, sp.where(F.col("split") == "test")))
-        rows.append((name or "ALL", *[met[x] for x in METRICS]))
+        rows.append((name or "ALL", n, *[met[x] for x in METRICS]))
         sp.unpersist()
-    return df.sparkSession.createDataFrame(rows, "source string, " + ", ".join(f"{m} double" for m in METRICS))
+    return df.sparkSession.createDataFrame(rows, "source string, n_rows long, " + ", ".join(f"{m} double" for m in METRICS))
 
 
 def persist_split(split_df: DataFrame, path: str, id_col: str = "id") -> None:

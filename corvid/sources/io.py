@@ -54,7 +54,7 @@ def read_optional(spark: SparkSession, path: str, schema: StructType | str,
     if not path_exists(spark, path):
         print(f"WARNING: path not found: {path}")
         return spark.createDataFrame([], schema)
-    return read_table(spark, path, None, fmt)
+    return read_table(spark, path, schema, fmt)
 
 
 def read_many_tagged(spark: SparkSession, paths: dict, tag_col: str = "source_dataset",
@@ -83,10 +83,16 @@ def land_once(df: DataFrame, path: str, min_bytes: int = 100) -> bool:
     return True
 
 
-def csv_text_to_table(lines: DataFrame, schema: StructType | str, text_col: str = "value") -> DataFrame:
+def csv_text_to_table(lines: DataFrame, schema: StructType | str, text_col: str = "value",
+                      header: bool = True) -> DataFrame:
     """CSV text rows -> typed table.  Blank lines are dropped and cells
-    trimmed (as the upload form does); parsing is ``from_csv`` on executors."""
+    trimmed (as the upload form does); parsing is ``from_csv`` on executors.
+    With ``header``, lines that hold just the column names are no data."""
     body = lines.where(F.trim(F.col(text_col)) != "")
+    if header:
+        st = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
+        names = ",".join(n.lower() for n in st.fieldNames())
+        body = body.where(F.lower(F.regexp_replace(F.col(text_col), r'[\s"\x{FEFF}]+', "")) != names.replace(" ", ""))
     parsed = body.select(F.from_csv(F.col(text_col), schema if isinstance(schema, str) else schema.simpleString(),
                                     {"ignoreLeadingWhiteSpace": "true",
                                      "ignoreTrailingWhiteSpace": "true"}).alias("r"))
@@ -115,20 +121,31 @@ def append_master_incremental(new: DataFrame, master: DataFrame) -> DataFrame:
 
 
 def write_versioned(df: DataFrame, root: str) -> str:
-    """Staged overwrite: write a new version folder, then point ``_CURRENT``
-    at it (readers never see a half-written table)."""
+    """Staged overwrite: write a new version folder, then let ``CURRENT``
+    name it by one atomic rename, so a reader sees the old or the new table at
+    every moment and a crash leaves the old one."""
     spark = df.sparkSession
     version = _dt.datetime.now(_dt.timezone.utc).strftime("v%Y%m%d%H%M%S%f")
     target = f"{root.rstrip('/')}/{version}"
     df.write.mode("errorifexists").parquet(target)
-    spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").text(
-        f"{root.rstrip('/')}/_CURRENT")
+    jvm = spark.sparkContext._jvm
+    fs, draft = _fs(spark, f"{root.rstrip('/')}/CURRENT-{version}")
+    out = fs.create(draft, True)
+    out.write(bytearray(version.encode()))
+    out.close()
+    overwrite = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    overwrite[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    files.rename(draft, jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/CURRENT"), overwrite)
     return target
 
 
 def read_versioned(spark: SparkSession, root: str) -> DataFrame | None:
-    cur = f"{root.rstrip('/')}/_CURRENT"
+    cur = f"{root.rstrip('/')}/CURRENT"
     if not path_exists(spark, cur):
+        fs, p = _fs(spark, root.rstrip("/"))
+        if fs.exists(p) and any(s.getPath().getName().startswith("v") for s in fs.listStatus(p)):
+            raise RuntimeError(f"{root} holds versions but no pointer to the current one")
         return None
     version = spark.read.text(cur).first()[0]
     return spark.read.parquet(f"{root.rstrip('/')}/{version}")
@@ -162,10 +179,10 @@ def validate_manual(df: DataFrame) -> DataFrame:
     ok = F.lit(True)
     for c in REQUIRED_MANUAL:
         ok = ok & F.col(c).isNotNull()
-    ok = ok & F.col("label").isin("PLANET", "NOT_PLANET")
+    ok = ok & F.coalesce(F.col("label").isin("PLANET", "NOT_PLANET"), F.lit(False))
     return (df.withColumn("valid", ok)
-            .withColumn("koi_disposition",
-                        F.when(F.col("label") == "PLANET", "CONFIRMED").otherwise("FALSE POSITIVE")))
+            .withColumn("koi_disposition", F.when(ok, F.when(F.col("label") == "PLANET", "CONFIRMED")
+                                                  .otherwise("FALSE POSITIVE"))))
 
 
 def resolve_training_source(spark: SparkSession, master_root: str, raw_root: str) -> DataFrame:

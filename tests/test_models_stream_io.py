@@ -159,3 +159,45 @@ def test_validate_manual(spark):
                                "koi_period double, koi_duration double, koi_depth double, koi_prad double, label string")
     v = [r["valid"] for r in io.validate_manual(df).collect()]
     assert v == [True, False, False]
+
+
+def test_validate_manual_null_and_invalid_labels(spark):
+    df = spark.createDataFrame([(1.0, 1.0, 1.0, 1.0, None), (1.0, 1.0, 1.0, 1.0, "MAYBE"), (1.0, 1.0, 1.0, 1.0, "NOT_PLANET")],
+                               "koi_period double, koi_duration double, koi_depth double, koi_prad double, label string")
+    got = [(r["valid"], r["koi_disposition"]) for r in io.validate_manual(df).collect()]
+    assert got == [(False, None), (False, None), (True, "FALSE POSITIVE")]
+
+
+def test_csv_upload_header_is_no_row(spark):
+    lines = spark.createDataFrame([("a, b",), ("1,x",), (" ",), ("2,b",)], "value string")
+    assert sorted(map(tuple, io.csv_text_to_table(lines, "a int, b string").collect())) == [(1, "x"), (2, "b")]
+
+
+def test_optional_table_keeps_the_given_schema(spark, tmp_path):
+    p = tmp_path / "t.csv"
+    p.write_text("code\n007\n")
+    assert [r.code for r in io.read_optional(spark, str(p), "code string").collect()] == ["007"]
+
+
+def test_versions_change_by_one_rename(spark, tmp_path):
+    root = str(tmp_path / "m")
+    assert io.read_versioned(spark, root) is None
+    for n in (1, 2, 3):
+        io.write_versioned(spark.range(n), root)
+        assert io.read_versioned(spark, root).count() == n
+    (tmp_path / "m" / "_CURRENT").rename(tmp_path / "gone")
+    with pytest.raises(RuntimeError):
+        io.read_versioned(spark, root)
+
+
+def test_recommend_takes_the_shortest_time(spark):
+    from corvid.operators import rank
+    df = spark.createDataFrame([("slow", 0.9, 10.0), ("quick", 0.8, 1.0)], "model string, roc_auc double, train_s double")
+    assert sorted(map(tuple, rank.recommend(df, "roc_auc", "train_s").collect())) == [("best", "slow"), ("fastest", "quick")]
+
+
+def test_label_to_int_of_odd_numbers(spark):
+    from pyspark.sql import functions as F
+    from corvid.functions import scalar as S
+    df = spark.createDataFrame([("NaN",), ("1e12",), (" 2.9 ",), ("x",), (None,)], "t string")
+    assert [r.l for r in df.select(S.label_to_int(F.col("t")).alias("l")).collect()] == [0, 0, 2, 0, 0]

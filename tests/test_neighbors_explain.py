@@ -2,6 +2,7 @@
 sum property."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from corvid.operators import neighbors as N
@@ -35,6 +36,19 @@ def test_knn_lsh_recall(spark):
     assert recall > 0.3, recall        # random 64-d unit vectors: the hard case for LSH
 
 
+def test_knn_lsh_does_not_depend_on_block_size(spark):
+    e = spark.read.parquet(f"{SF_SMALL}/embeddings.parquet").select(F.col("vec_id").alias("id"), "embedding")
+    got = [sorted((r["qid"], r["rank"], r["nid"]) for r in N.knn_lsh(e, "embedding", 5, n_tables=2, n_bits=2, block_rows=b).collect())
+           for b in (2048, 100, 20)]
+    assert got[0] == got[1] == got[2] and got[0]
+
+
+def test_smote_needs_two_classes(spark):
+    df = spark.createDataFrame([(1, 0, 1.0), (2, 1, 2.0), (3, 2, 3.0)], "id long, label int, x double")
+    with pytest.raises(ValueError):
+        N.smote(df, ["x"])
+
+
 def test_shapley_sums_to_score_difference(spark):
     sig = views.sig(spark, SF_SMALL)
     feats = ["period", "depth", "snr", "st_teff"]
