@@ -185,7 +185,7 @@ def test_versions_change_by_one_rename(spark, tmp_path):
     for n in (1, 2, 3):
         io.write_versioned(spark.range(n), root)
         assert io.read_versioned(spark, root).count() == n
-    (tmp_path / "m" / "_CURRENT").rename(tmp_path / "gone")
+    (tmp_path / "m" / "CURRENT").rename(tmp_path / "gone")
     with pytest.raises(RuntimeError):
         io.read_versioned(spark, root)
 
