@@ -39,8 +39,9 @@ class PieceTable:
         if len(self.young) > self.limit:
             self.old, self.young = self.young, {}
         young, old = self.young, self.old
-        for k in keys - young.keys():
-            young[k] = old[k] if k in old else make(k)
+        for k in keys:              # (a set difference would walk the whole table)
+            if k not in young:
+                young[k] = old[k] if k in old else make(k)
         return young
 
 
