@@ -34,16 +34,24 @@ class PieceTable:
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def fill(self, keys: set[str], make) -> dict[str, bytes]:
-        """Make sure that all keys are in the young generation; return it."""
+    def fill_all(self, keys: set[str], make_all) -> dict[str, bytes]:
+        """Make sure that all keys are in the young generation; return it.
+        ``make_all`` gives (key, value) of a list of keys."""
         if len(self.young) > self.limit:
             self.old, self.young = self.young, {}
-        young, old = self.young, self.old
+        young, old, new = self.young, self.old, []
         for k in keys:              # (a set difference would walk the whole table)
             if k not in young:
-                young[k] = old[k] if k in old else make(k)
+                if k in old:
+                    young[k] = old[k]
+                else:
+                    new.append(k)
+        young.update(make_all(new))
         return young
 
+    def fill(self, keys: set[str], make) -> dict[str, bytes]:
+        return self.fill_all(keys, lambda new: ((k, make(k)) for k in new))
+
 
 class WordEncoder:
     """Packed little-endian unsigned 32-bit ids of whole texts.
