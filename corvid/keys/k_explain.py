@@ -32,13 +32,13 @@ def _linear(frame):
     return frame.withColumn("_v", expr)
 
 
-_MED_CTE = (", med AS (SELECT " + ", ".join(f"quantile_cont({c}, 0.5) AS m_{c}" for c in FEATS) + " FROM sig)\n"
-            ", fs AS (SELECT id, " + ", ".join(f"coalesce({c}, m_{c}) AS {c}" for c in FEATS)
+_MED_CTE = (", med AS MATERIALIZED (SELECT " + ", ".join(f"quantile_cont({c}, 0.5) AS m_{c}" for c in FEATS) + " FROM sig)\n"
+            ", fs AS MATERIALIZED (SELECT id, " + ", ".join(f"coalesce({c}, m_{c}) AS {c}" for c in FEATS)
             + ", " + ", ".join(f"m_{c}" for c in FEATS) + " FROM sig, med)\n")
-_CONTRIB_SQL = _MED_CTE + ", ct AS (" + " UNION ALL ".join(
+_CONTRIB_SQL = _MED_CTE + ", ct AS MATERIALIZED (" + " UNION ALL ".join(
     f"SELECT id, '{c}' AS feature, round(CAST({a!r} AS DOUBLE) * ({c} - m_{c}), 9) AS value FROM fs"
     for c, a in COEF.items()) + ")\n"
-_TOP_SQL = _CONTRIB_SQL + """, tk AS (SELECT id, feature, value,
+_TOP_SQL = _CONTRIB_SQL + """, tk AS MATERIALIZED (SELECT id, feature, value,
   CAST(row_number() OVER (PARTITION BY id ORDER BY abs(value) DESC, feature) AS BIGINT) AS rank FROM ct)
 """
 

@@ -9,7 +9,7 @@ projection plus the model's own transform (no shuffle).
 Presets (fixed values of the original comparison scripts; an unlimited
 tree depth becomes 20):
 
-* rf        100 trees, depth 20, min 5 rows to split (API form), balanced weights
+* rf        100 trees, depth 20, balanced weights
 * gbt_hist  100 rounds, step 0.1, depth 10
 * gbt_xgb   100 rounds, step 0.1, depth 6
 * gbt_cat   500 rounds, step 0.05, depth 8, 128 bins, early stop on a 20 % validation slice
@@ -29,6 +29,7 @@ tree depth becomes 20):
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -36,11 +37,12 @@ from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, Li
                                        MultilayerPerceptronClassifier, NaiveBayes, RandomForestClassifier)
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvid.operators import prep
 from corvid.session import ensure_checkpoint_dir, reliable_checkpoint
+from corvid.sources.io import path_exists
 
 SEED = 42
 # iterative learners run one Spark job per tree level / iteration; tiny
@@ -108,12 +110,12 @@ def _lit(v: float) -> str:
 
 def prep_transformer(features: list[str], medians: dict, scales: dict | None = None,
                      suffix: str = "__x") -> SQLTransformer:
-    """Fitted preprocessing as SQL: fill by train medians, optional
-    standard scaling; features absent at scoring time are aligned by
+    """Fitted preprocessing as SQL: fill (NULL and NaN) by train medians,
+    optional standard scaling; features absent at scoring time are aligned by
     ``align_for`` before this stage."""
     exprs = []
     for c in features:
-        e = f"coalesce(`{c}`, {_lit(medians.get(c, 0.0))})"
+        e = f"coalesce(nanvl(CAST(`{c}` AS DOUBLE), CAST(NULL AS DOUBLE)), {_lit(medians.get(c, 0.0))})"
         if scales and c in scales:
             mu, sd = scales[c]
             e = f"(({e}) - {_lit(mu)}) / {_lit(sd)}"
@@ -174,9 +176,11 @@ def fit(train: DataFrame, features: list[str], family: str, params: dict | None
     p = {**PRESETS.get(family, {}), **(params or {})}
     ensure_checkpoint_dir(train.sparkSession)      # tree node-id cache checkpoints go there
     if family == "adaboost":
-        return fit_adaboost(train, features, p.get("rounds", 100), p.get("maxDepth", 1), label)
+        return _described(fit_adaboost(train, features, p.get("rounds", 100), p.get("maxDepth", 1), label),
+                          family, prep.class_counts_local(train, label))
     if family == "stacking":
-        return fit_stacking(train, features, p, label, id_col)
+        return _described(fit_stacking(train, features, p, label, id_col),
+                          family, prep.class_counts_local(train, label))
     medians = prep.fit_median(train, features)
     feats = [c for c in features if c in medians]           # all-null features leave by name
     scales = prep.fit_standard(prep.apply_fill(train, medians), feats) if p.get("scale") else None
@@ -196,17 +200,25 @@ def fit(train: DataFrame, features: list[str], family: str, params: dict | None
         data = data.withColumn("_is_val", prep.seeded_md5(f"{SEED}val", id_col).substr(1, 8)
                                < F.lit(format(int(p["validation"] * 16 ** 8), "08x")))
     stages.append(_estimator(family, p, len(feats), weight))
-    model = Pipeline(stages=stages).fit(right_size(data, sum(counts.values())))
-    model._corvid = {"features": feats, "family": family}  # noqa: SLF001
+    return _described(Pipeline(stages=stages).fit(right_size(data, sum(counts.values()))), family, counts)
+
+
+def _described(model, family: str, counts: dict):
+    """What ``save`` records of a fit: family and training rows per class."""
+    model._corvid = {"family": family,  # noqa: SLF001
+                     "classes": {str(int(c)): n for c, n in counts.items() if c is not None}}
     return model
 
 
-def feature_names(model: PipelineModel) -> list[str]:
+def feature_names(model) -> list[str]:
+    """Trained feature names, in order, of any fitted family."""
+    if isinstance(model, (BoostedStumps, StackedModel)):
+        return list(model.features)
     va = [s for s in model.stages if isinstance(s, VectorAssembler)][0]
     return [c[:-3] for c in va.getInputCols()]
 
 
-def align_for(model: PipelineModel, df: DataFrame, keep: list[str] = ("id",)) -> DataFrame:
+def align_for(model, df: DataFrame, keep: list[str] = ("id",)) -> DataFrame:
     """B16 before scoring: trained names in order, absent ones 0.0, extras
     ignored."""
     names = feature_names(model)
@@ -218,9 +230,7 @@ def align_for(model: PipelineModel, df: DataFrame, keep: list[str] = ("id",)) ->
 
 def score(model, df: DataFrame, keep: list[str] = ("id", "label")) -> DataFrame:
     """Narrow scoring: (keep..., prediction int, p1 double, confidence)."""
-    if isinstance(model, BoostedStumps):
-        return model.score(df, keep)
-    if isinstance(model, StackedModel):
+    if isinstance(model, (BoostedStumps, StackedModel)):
         return model.score(df, keep)
     out = model.transform(df)
     if "probability" in out.columns:
@@ -232,8 +242,19 @@ def score(model, df: DataFrame, keep: list[str] = ("id", "label")) -> DataFrame:
                       F.greatest(p1, F.lit(1.0) - p1).alias("confidence"))
 
 
-def importances(model: PipelineModel) -> list[tuple[str, float]]:
-    """(feature, importance) with names carried alongside."""
+def importances(model) -> list[tuple[str, float]]:
+    """(feature, importance) with names carried alongside.  AdaBoost: mean
+    of the trees' importances by their weights; stacking: mean of the bases."""
+    if isinstance(model, StackedModel):
+        per_base = [dict(importances(b)) for b in model.bases]
+        return [(f, sum(b.get(f, 0.0) for b in per_base) / len(per_base)) for f in model.features]
+    if isinstance(model, BoostedStumps):
+        total = sum(abs(a) for a in model.alphas) or 1.0
+        vals = [0.0] * len(model.features)
+        for t, a in zip(model.trees, model.alphas):
+            for i, v in enumerate(t.featureImportances.toArray()):
+                vals[i] += abs(a) / total * float(v)
+        return list(zip(model.features, vals))
     est = model.stages[-1]
     names = feature_names(model)
     if hasattr(est, "featureImportances"):
@@ -348,9 +369,57 @@ def fit_stacking(train: DataFrame, features: list[str], p: dict, label: str = "l
 
 
 # --- A12 save / load ----------------------------------------------------------------------------------
-def save(model: PipelineModel, path: str) -> None:
-    model.write().overwrite().save(path)
+def _write_json(spark, path: str, value: dict) -> None:
+    spark.createDataFrame([(json.dumps(value, sort_keys=True),)], "value string").coalesce(1) \
+        .write.mode("overwrite").text(path)
+
+
+def metadata(spark, path: str) -> dict:
+    """What ``save`` wrote beside the stages of a model."""
+    return json.loads(spark.read.text(f"{path}/about").first()[0])
 
 
-def load(path: str) -> PipelineModel:
-    return PipelineModel.load(path)
+def save(model, path: str, about: dict | None = None) -> None:
+    """Any fitted family: its Spark stages below ``path``, and a JSON record
+    (kind, feature names, tree weights, and the caller's ``about``) that is
+    written last, so a model without it is incomplete."""
+    spark = SparkSession.active()
+    record = {**getattr(model, "_corvid", {}), **(about or {}), "features": feature_names(model)}
+    if isinstance(model, BoostedStumps):
+        model.prep_model.write().overwrite().save(f"{path}/prep")
+        PipelineModel(stages=model.trees).write().overwrite().save(f"{path}/trees")
+        record |= {"kind": "boosted", "alphas": model.alphas}
+    elif isinstance(model, StackedModel):
+        for i, b in enumerate(model.bases):
+            b.write().overwrite().save(f"{path}/base-{i}")
+        model.meta.write().overwrite().save(f"{path}/meta")
+        record |= {"kind": "stacked", "bases": len(model.bases)}
+    else:
+        model.write().overwrite().save(f"{path}/model")
+        record["kind"] = "pipeline"
+    _write_json(spark, f"{path}/about", record)
+
+
+def load(path: str):
+    record = metadata(SparkSession.active(), path)
+    if record["kind"] == "boosted":
+        return BoostedStumps(PipelineModel.load(f"{path}/prep"), PipelineModel.load(f"{path}/trees").stages,
+                             record["alphas"], record["features"])
+    if record["kind"] == "stacked":
+        return StackedModel([PipelineModel.load(f"{path}/base-{i}") for i in range(record["bases"])],
+                            PipelineModel.load(f"{path}/meta"), record["features"])
+    return PipelineModel.load(f"{path}/model")
+
+
+def status(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
+    """One row per expected model (name -> folder), read from the records
+    on disk; a model without its record is not trained."""
+    rows = []
+    for name, path in sorted(paths.items()):
+        about = metadata(spark, path) if path_exists(spark, f"{path}/about/_SUCCESS") else None
+        classes = (about or {}).get("classes") or {}
+        feats = about["features"] if about else []
+        rows.append((name, about is not None, sum(classes.values()) if classes else None, classes.get("1"),
+                     len(feats), ",".join(feats)))
+    return spark.createDataFrame(rows, "model string, trained boolean, n_train long, n_positive long, "
+                                       "n_features int, features string")

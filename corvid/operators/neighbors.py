@@ -178,14 +178,17 @@ def knn_classify(train: DataFrame, test: DataFrame, features, k: int = 5, id_col
 
 def smote(df: DataFrame, features: list[str], label: str = "label", id_col: str = "id", k: int = 5,
           seed=42, block_rows: int = BLOCK_ROWS, return_synthetic_only: bool = False,
-          neighbours: str = "exact") -> DataFrame:
+          neighbours: str = "exact", scales: dict | None = None) -> DataFrame:
     """grow the minority class to the majority size with points
     x + u * (neighbour - x), the neighbour one of x's k nearest minority rows.
 
     Draw j (1..D) takes base rank md5(seed|b|j) mod m + 1, neighbour rank
     md5(seed|n|j) mod k + 1 and u = md5(seed|u|j) / 2^32.  Draw numbers are
     generated by the minority rows themselves (no task makes all draws) and
-    resolved by equi-joins on unique keys."""
+    resolved by equi-joins on unique keys.  ``scales`` ({feature: (mean,
+    deviation)}) standardizes the features for the neighbour search only; the
+    points are made from the rows as they are.  Features must not be null."""
+    from corvid.operators.prep import apply_scale
     counts = {r[0]: r[1] for r in df.groupBy(label).count().collect()}   # one row per class
     if len(counts) != 2:
         raise ValueError(f"SMOTE needs exactly two classes in {label!r}, found {len(counts)}")
@@ -199,8 +202,9 @@ def smote(df: DataFrame, features: list[str], label: str = "label", id_col: str
     ranked = class_rank(mino.withColumn("_k", seeded_md5(seed, id_col)), label, "_k", id_col, "_r").drop("_k")
     # exact search is O(m^2) distance work inside the minority class; for a
     # very large minority the LSH search (bounded candidate groups) is offered
-    nn = (knn_exact(mino, mino, features, kk, id_col, None, True, block_rows) if neighbours == "exact"
-          else knn_lsh(mino, features, kk, id_col, block_rows=block_rows))
+    space = mino if scales is None else apply_scale(mino, scales)
+    nn = (knn_exact(space, space, features, kk, id_col, None, True, block_rows) if neighbours == "exact"
+          else knn_lsh(space, features, kk, id_col, block_rows=block_rows))
     draws = (ranked.select(F.explode(F.sequence(F.col("_r"), F.lit(need).cast("long"), F.lit(m).cast("long")))
                            .alias("draw"))
              .withColumn("_base_r", md5_number(seeded_md5(seed, F.lit("b"), "draw")) % m + 1)

@@ -43,9 +43,11 @@ def impute_median(train: DataFrame, df: DataFrame, cols: list[str]) -> tuple[Dat
 
 # --- F2 / F3 scaling ------------------------------------------------------------
 def fit_standard(df: DataFrame, cols: list[str]) -> dict:
-    """Mean and population std per column; zero std -> divisor 1."""
-    row = df.agg(*[F.avg(c).alias(f"{c}__m") for c in cols],
-                 *[F.stddev_pop(c).alias(f"{c}__s") for c in cols]).first()
+    """Mean and population std per column (NaN counts as missing); zero std ->
+    divisor 1."""
+    v = {c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) for c in cols}
+    row = df.agg(*[F.avg(v[c]).alias(f"{c}__m") for c in cols],
+                 *[F.stddev_pop(v[c]).alias(f"{c}__s") for c in cols]).first()
     out = {}
     for c in cols:
         s = row[f"{c}__s"]
@@ -121,8 +123,9 @@ def _quota_col(label_col: str, quotas: dict):
 def stratified_split(df: DataFrame, label_col: str = "label", id_col: str = "id",
                      test_size: float = 0.2, seed=DEFAULT_SEED, split_col: str = "split",
                      names: tuple = ("train", "test")) -> DataFrame:
-    """the first quota rows of each class in md5(seed|id) order are test."""
-    keyed = df.withColumn("_k", seeded_md5(seed, id_col))
+    """the first quota rows of each class in md5(seed|id) order are test.
+    Rows without a label belong to no class and leave."""
+    keyed = df.where(F.col(label_col).isNotNull()).withColumn("_k", seeded_md5(seed, id_col))
     bc = bucket_counts(keyed, label_col, "_k")          # one bounded pass: classes x buckets
     quotas = test_quotas(totals(bc), test_size)
     ranked = class_rank(keyed, label_col, "_k", id_col, "_r", counts=bc)
@@ -144,8 +147,9 @@ def split_three_way(df: DataFrame, label_col: str = "label", id_col: str = "id",
 
 def kfold(df: DataFrame, k: int = 5, label_col: str = "label", id_col: str = "id",
           seed=DEFAULT_SEED, fold_col: str = "fold") -> DataFrame:
-    """stratified folds, fold = (rank in class - 1) mod k."""
-    keyed = df.withColumn("_k", seeded_md5(seed, id_col))
+    """stratified folds, fold = (rank in class - 1) mod k.  Rows without a
+    label leave."""
+    keyed = df.where(F.col(label_col).isNotNull()).withColumn("_k", seeded_md5(seed, id_col))
     ranked = class_rank(keyed, label_col, "_k", id_col, "_r")
     return ranked.withColumn(fold_col, ((F.col("_r") - 1) % k).cast("int")).drop("_k", "_r")
 
@@ -197,7 +201,9 @@ def oversample(df: DataFrame, label_col: str = "label", id_col: str = "id",
 
 def balance(df: DataFrame, method: str = "none", features: list[str] | None = None,
             label_col: str = "label", id_col: str = "id", seed=DEFAULT_SEED) -> DataFrame:
-    """dispatch; a method that cannot work on its input raises."""
+    """dispatch; a method that cannot work on its input raises.  SMOTE
+    works on rows filled by their medians, and looks for neighbours among
+    standardized features."""
     if method == "none":
         return df
     if method == "undersample":
@@ -206,7 +212,11 @@ def balance(df: DataFrame, method: str = "none", features: list[str] | None = No
         return oversample(df, label_col, id_col, seed)
     if method == "smote":
         from corvid.operators.neighbors import smote
-        return smote(df, features, label_col, id_col, seed=seed)
+        medians = fit_median(df, features)
+        kept = [c for c in features if c in medians]
+        filled = apply_fill(df, medians)
+        out = smote(filled, kept, label_col, id_col, seed=seed, scales=fit_standard(filled, kept))
+        return out.withColumns({c: F.lit(None).cast("double") for c in features if c not in medians})
     raise ValueError(f"unknown balancing method {method!r}")
 
 

@@ -134,8 +134,7 @@ def train_job(spark, upload: DataFrame, out_dir: str, label_col: str | None = No
     for fam in families:
         m = M.fit(train, feats, fam, (params or {}).get(fam), "label", id_col)
         metrics[fam] = _metrics(M.score(m, test))
-        if hasattr(m, "write"):
-            M.save(m, f"{out_dir}/models/{fam}")
+        M.save(m, f"{out_dir}/models/{fam}", {"family": fam, "policy": policy, "label_col": lc})
     io.append_history(spark, f"{out_dir}/history", lab.count(), len(feats), metrics, params or {}, True)
     train.unpersist()
     test.unpersist()

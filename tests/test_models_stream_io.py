@@ -48,6 +48,48 @@ def test_save_load_and_alignment(spark, split):
     assert out.count() == test.count()
 
 
+@pytest.mark.parametrize("family,params", [
+    ("adaboost", {"rounds": 3}), ("stacking", {"numTrees": 3, "folds": 2, "maxDepth": 3})])
+def test_ensembles_save_load_and_batch_score(spark, split, family, params):
+    m = M.fit(split.where("split = 'train'"), FEATS, family, params)
+    assert M.feature_names(m) == FEATS and len(M.importances(m)) == len(FEATS)
+    path = scratch_dir(spark, f"t-model-{uuid.uuid4().hex}")
+    M.save(m, path, {"policy": "general"})
+    assert M.metadata(spark, path)["policy"] == "general"
+    back = M.load(path)
+    test = split.where("split = 'test'")
+    a = M.score(m, test).select("id", F.col("p1").alias("a"))
+    b = M.score(back, test).select("id", F.col("p1").alias("b"))
+    assert a.join(b, "id").where("a != b").count() == 0
+    t2 = test.drop("st_rad", "label").withColumn("junk", F.lit("x"))
+    assert S.batch_score({"x": m, "y": back}, t2).where("pred_x = pred_y").count() == test.count()
+    st = {r["model"]: r for r in M.status(spark, {"x": path, "none": f"{path}-none"}).collect()}
+    assert st["x"]["trained"] and not st["none"]["trained"]
+    assert st["x"]["n_train"] == split.where("split = 'train'").count()
+
+
+def test_fit_takes_nan_as_missing(spark, split):
+    tr = split.where("split = 'train'").withColumn("snr", F.when(F.col("id") % 3 == 0, float("nan")).otherwise(F.col("snr")))
+    m = M.fit(tr, FEATS, "logreg", {"maxIter": 5})
+    assert M.score(m, tr).where("isnan(p1) or p1 is null").count() == 0
+
+
+def test_smote_balance_fills_and_scales(spark):
+    # neighbours by the scaled features: along `small`, not along the wide `big`
+    rows = [(i, float(i % 2) * 1000 + i % 7, float(i // 2), 1) for i in range(12)]
+    rows += [(100 + i, float(i), float(i), 0) for i in range(40)] + [(90, None, 5.0, 1)]
+    df = spark.createDataFrame(rows, "id long, big double, small double, label int").withColumn("empty", F.lit(None).cast("double"))
+    out = prep.balance(df, "smote", ["big", "small", "empty"]).cache()
+    assert {r["label"]: r["count"] for r in out.groupBy("label").count().collect()} == {0: 40, 1: 40}
+    assert out.where("big is null or small is null or empty is not null").count() == 0
+    assert out.where("id < 0").dropDuplicates(["big", "small"]).count() > 20
+
+
+def test_null_labels_leave_splits_and_folds(spark):
+    df = spark.createDataFrame([(i, None if i % 5 == 0 else i % 2) for i in range(50)], "id long, label int")
+    assert prep.stratified_split(df).count() == 40 and prep.kfold(df, 3).count() == 40
+
+
 def test_all_null_feature_leaves_by_name(spark, split):
     tr = split.where("split = 'train'").withColumn("empty", F.lit(None).cast("double"))
     m = M.fit(tr, FEATS + ["empty"], "dt", {"maxDepth": 3})
