@@ -27,6 +27,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from corvid.functions.hashing import md5_number, md5_unit, seeded_md5
 from corvid.operators.ranking import class_rank
@@ -41,7 +42,19 @@ def _vec(features: list[str] | str):
     return F.array(*[F.col(c).cast("double") for c in features])
 
 
-def _block_topk(k: int, exclude_self: bool):
+def _id_type(df: DataFrame, id_col: str) -> str:
+    """Whole numbers stay numbers (long); any other id is compared as text."""
+    return "long" if isinstance(df.schema[id_col].dataType, IntegralType) else "string"
+
+
+def _ids(rows: pd.DataFrame) -> np.ndarray:
+    ids = rows["_id"].to_numpy()
+    return ids.astype(str) if ids.dtype == object else ids
+
+
+def _block_topk(k: int, exclude_self: bool, text_ids: bool = False):
+    id_dtype = "object" if text_ids else "int64"
+
     def fn(pdf: pd.DataFrame) -> pd.DataFrame:
         q = pdf[pdf["_role"] == 0]
         c = pdf[pdf["_role"] == 1]
@@ -49,13 +62,13 @@ def _block_topk(k: int, exclude_self: bool):
         if len(q) and len(c):
             g = pdf["_g"].iloc[0]
             C = np.stack(c["_v"].to_numpy()).astype(np.float64)
-            cid = c["_id"].to_numpy()
+            cid = _ids(c)
             kk = min(k, len(c))
             for s in range(0, len(q), _Q_CHUNK):
                 qs = q.iloc[s:s + _Q_CHUNK]
                 Q = np.stack(qs["_v"].to_numpy()).astype(np.float64)
                 d = np.sqrt(((Q[:, None, :] - C[None, :, :]) ** 2).sum(axis=2))
-                qid = qs["_id"].to_numpy()
+                qid = _ids(qs)
                 if exclude_self:
                     d[qid[:, None] == cid[None, :]] = np.inf
                 for i in range(len(qs)):
@@ -68,12 +81,12 @@ def _block_topk(k: int, exclude_self: bool):
                     sel = cand[order]
                     sel = sel[np.isfinite(row[sel])]
                     cols["_g"] += [g] * len(sel)
-                    cols["qid"] += [int(qid[i])] * len(sel)
+                    cols["qid"] += [qid[i].item()] * len(sel)
                     cols["nid"] += cid[sel].tolist()
                     cols["dist"] += row[sel].tolist()
         return pd.DataFrame({"_g": pd.Series(cols["_g"], dtype="object"),
-                             "qid": pd.Series(cols["qid"], dtype="int64"),
-                             "nid": pd.Series(cols["nid"], dtype="int64"),
+                             "qid": pd.Series(cols["qid"], dtype=id_dtype),
+                             "nid": pd.Series(cols["nid"], dtype=id_dtype),
                              "dist": pd.Series(cols["dist"], dtype="float64")})
     return fn
 
@@ -94,8 +107,9 @@ def knn_exact(queries: DataFrame, candidates: DataFrame, features, k: int = 5, i
     only within the same ``group_col`` value.  Returns
     (group?, qid, nid, dist, rank)."""
     g = F.col(group_col).cast("string") if group_col else F.lit("")
-    q = queries.select(g.alias("_g"), F.col(id_col).cast("long").alias("_id"), _vec(features).alias("_v"))
-    c = candidates.select(g.alias("_g"), F.col(id_col).cast("long").alias("_id"), _vec(features).alias("_v"))
+    kind = _id_type(queries, id_col)
+    q = queries.select(g.alias("_g"), F.col(id_col).cast(kind).alias("_id"), _vec(features).alias("_v"))
+    c = candidates.select(g.alias("_g"), F.col(id_col).cast(kind).alias("_id"), _vec(features).alias("_v"))
     # block counts per group: one small aggregate (bounded by the group list)
     nq = {r[0]: r[1] for r in q.groupBy("_g").count().collect()}
     nc = {r[0]: r[1] for r in c.groupBy("_g").count().collect()}
@@ -114,7 +128,7 @@ def knn_exact(queries: DataFrame, candidates: DataFrame, features, k: int = 5, i
                   F.lit(1).alias("_role"))
     both = qx.unionByName(cx)
     parts = both.groupBy("_g", "_qb", "_cb").applyInPandas(
-        _block_topk(k, exclude_self), "_g string, qid long, nid long, dist double")
+        _block_topk(k, exclude_self, kind == "string"), f"_g string, qid {kind}, nid {kind}, dist double")
     out = _merge_topk(parts, k)
     if group_col:
         return out.withColumnRenamed("_g", group_col)
@@ -133,7 +147,8 @@ def knn_lsh(df: DataFrame, features, k: int = 5, id_col: str = "id", n_tables: i
     larger than ``block_rows`` is searched block against block, so groups are
     bounded and the result does not depend on ``block_rows``.  ``n_bits`` sets
     the bucket size: about log2(rows / rows wanted per bucket)."""
-    base = df.select(F.col(id_col).cast("long").alias("id"), _vec(features).alias("_v"))
+    kind = _id_type(df, id_col)
+    base = df.select(F.col(id_col).cast(kind).alias("id"), _vec(features).alias("_v"))
     dim = len(base.select("_v").first()[0])
     planes = lsh_planes(dim, n_tables, n_bits, seed)
     tables = []
@@ -158,7 +173,7 @@ def knn_lsh(df: DataFrame, features, k: int = 5, id_col: str = "id", n_tables: i
     q = hashed.select(grp("_own", "_other"), F.col("id").alias("_id"), "_v", F.lit(0).alias("_role"))
     c = hashed.select(grp("_other", "_own"), F.col("id").alias("_id"), "_v", F.lit(1).alias("_role"))
     parts = q.unionByName(c).groupBy("_g").applyInPandas(
-        _block_topk(k, True), "_g string, qid long, nid long, dist double")
+        _block_topk(k, True, kind == "string"), f"_g string, qid {kind}, nid {kind}, dist double")
     dedup = parts.select("qid", "nid", "dist").dropDuplicates(["qid", "nid"]).withColumn("_g", F.lit(""))
     return _merge_topk(dedup, k).drop("_g")
 
@@ -168,7 +183,7 @@ def knn_classify(train: DataFrame, test: DataFrame, features, k: int = 5, id_col
     """Majority class of the k nearest training rows (ties to the
     smaller class); the positive share is the mean neighbour label."""
     nn = knn_exact(test, train, features, k, id_col, None, False, block_rows)
-    lab = train.select(F.col(id_col).cast("long").alias("nid"), F.col(label).alias("_lab"))
+    lab = train.select(F.col(id_col).cast(_id_type(train, id_col)).alias("nid"), F.col(label).alias("_lab"))
     votes = nn.join(lab, "nid").groupBy("qid", "_lab").agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy("qid").orderBy(F.desc("n"), "_lab")        # at most k rows per query
     best = votes.withColumn("_r", F.row_number().over(w)).where(F.col("_r") == 1)
@@ -198,6 +213,7 @@ def smote(df: DataFrame, features: list[str], label: str = "label", id_col: str
     if need <= 0 or m < 2:
         return df
     kk = min(k, m - 1)
+    kind = _id_type(df, id_col)
     mino = df.where(F.col(label) == minority)
     ranked = class_rank(mino.withColumn("_k", seeded_md5(seed, id_col)), label, "_k", id_col, "_r").drop("_k")
     # exact search is O(m^2) distance work inside the minority class; for a
@@ -210,9 +226,9 @@ def smote(df: DataFrame, features: list[str], label: str = "label", id_col: str
              .withColumn("_base_r", md5_number(seeded_md5(seed, F.lit("b"), "draw")) % m + 1)
              .withColumn("_nh", md5_number(seeded_md5(seed, F.lit("n"), "draw")))
              .withColumn("_u", md5_unit(seeded_md5(seed, F.lit("u"), "draw"))))
-    base = ranked.select(F.col("_r").alias("_base_r"), F.col(id_col).cast("long").alias("base_id"),
+    base = ranked.select(F.col("_r").alias("_base_r"), F.col(id_col).cast(kind).alias("base_id"),
                          *[F.col(c).cast("double").alias(f"_b_{c}") for c in features])
-    nbr = mino.select(F.col(id_col).cast("long").alias("nbr_id"),
+    nbr = mino.select(F.col(id_col).cast(kind).alias("nbr_id"),
                       *[F.col(c).cast("double").alias(f"_n_{c}") for c in features])
     # neighbour rank = md5 mod (neighbours found) + 1; the exact search always
     # finds kk, an approximate one may find fewer (none: the base itself)

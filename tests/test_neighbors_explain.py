@@ -64,3 +64,16 @@ def test_shapley_sums_to_score_difference(spark):
     fb = M.score(m, base, ["id"]).first()["p1"]
     bad = phi.join(fx, "id").where(F.abs(F.col("s") - (F.col("fx") - fb)) > 1e-9).count()
     assert bad == 0
+
+
+def test_text_ids_in_neighbours_smote_and_votes(spark):
+    rows = [(f"K{i:05d}.01", float(i), float(i % 3), int(i >= 30)) for i in range(40)]
+    df = spark.createDataFrame(rows, "id string, a double, b double, label int")
+    num = df.withColumn("id", F.regexp_extract("id", r"K(\d+)", 1).cast("long"))
+    for search in (lambda d: N.knn_exact(d, d, ["a", "b"], 3, block_rows=8),
+                   lambda d: N.knn_lsh(d, ["a", "b"], 3, n_bits=2, block_rows=8)):
+        want = {(f"K{r.qid:05d}.01", r["rank"], f"K{r.nid:05d}.01") for r in search(num).collect()}
+        assert {(r.qid, r["rank"], r.nid) for r in search(df).collect()} == want
+    out = N.smote(df, ["a", "b"])
+    assert {r["label"]: r["count"] for r in out.groupBy("label").count().collect()} == {0: 30, 1: 30}
+    assert N.knn_classify(df, df, ["a", "b"], 3).count() == 40
