@@ -72,9 +72,7 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float],
         v = F.col(c).cast("double")
         return F.when(~F.isnan(v), v)
 
-    for _ in range(64):
-        if not pending:
-            break
+    while pending:          # every pass narrows a bracket, widens a missed one, or reads it off
         # brackets are literals (a handful per column): one explode, no join
         need_hist = [j for j, t in enumerate(pending) if not t.get("full")]
         hist = []
@@ -122,10 +120,14 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float],
                         b2 = b
                     run += cnt
                 w = (t["hi"] - t["lo"]) / N_BINS
-                new_lo = t["lo"] + b1 * w
-                new_hi = t["hi"] if b2 == N_BINS - 1 else t["lo"] + (b2 + 1) * w
-                t["lo"], t["hi"] = new_lo, new_hi
-                nxt.append(t)
+                # one bin more on both sides, so that rounding cannot lose the wanted values
+                new_lo = max(t["lo"], t["lo"] + (b1 - 1) * w)
+                new_hi = min(t["hi"], t["lo"] + (b2 + 2) * w)
+                if (new_lo, new_hi) == (t["lo"], t["hi"]):
+                    collect_ids.append(j)       # a few neighbouring doubles: few distinct values
+                else:
+                    t["lo"], t["hi"] = new_lo, new_hi
+                    nxt.append(t)
         if collect_ids:
             # tasks with the same (column, bracket) share one fetch
             rep: dict = {}

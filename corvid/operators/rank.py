@@ -5,7 +5,7 @@ which plans as a per-partition top-k followed by a merge (TakeOrdered)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -20,16 +20,15 @@ def top_k(results: DataFrame, by: str, k: int = 5, name: str = "model") -> DataF
     return results.orderBy(F.desc_nulls_last(by), name).limit(k)
 
 
-def _arg(results: DataFrame, by: str, how: str, name: str):
-    order = F.desc_nulls_last(by) if how == "max" else F.asc_nulls_last(by)
-    r = results.orderBy(order, name).select(name).first()
-    return r[0] if r else None
+def _arg(by: str, how: str, name: str) -> Column:
+    """The ``name`` at the largest or smallest ``by`` (nulls last, ties by name)."""
+    value = -F.col(by) if how == "max" else F.col(by)
+    return F.min_by(name, F.struct(F.col(by).isNull(), value, F.col(name)))
 
 
 def best_by(results: DataFrame, criteria: dict, name: str = "model") -> DataFrame:
-    """Arg-max / arg-min per criterion (ties by name), one row."""
-    vals = {alias: _arg(results, by, how, name) for alias, (by, how) in criteria.items()}
-    return results.sparkSession.createDataFrame([tuple(vals.values())], ", ".join(f"{a} string" for a in vals))
+    """Arg-max / arg-min per criterion (ties by name), one row, one pass."""
+    return results.agg(*[_arg(by, how, name).alias(alias) for alias, (by, how) in criteria.items()])
 
 
 def auc_summary(results: DataFrame, col: str = "roc_auc") -> DataFrame:
@@ -39,10 +38,9 @@ def auc_summary(results: DataFrame, col: str = "roc_auc") -> DataFrame:
 
 def recommend(results: DataFrame, quality: str, seconds: str, name: str = "model") -> DataFrame:
     """One model when the best is also the fastest (fewest ``seconds``), else both."""
-    best = _arg(results, quality, "max", name)
-    fast = _arg(results, seconds, "min", name)
-    rows = [("best", best)] + ([("fastest", fast)] if fast != best else [])
-    return results.sparkSession.createDataFrame(rows, "role string, model string")
+    picked = results.agg(_arg(quality, "max", name).alias("best"), _arg(seconds, "min", name).alias("fastest"))
+    return picked.select(F.stack(F.lit(2), F.lit("best"), "best", F.lit("fastest"), "fastest").alias("role", "model"),
+                         "best").where((F.col("role") == "best") | ~F.col("model").eqNullSafe(F.col("best"))).drop("best")
 
 
 def importance_table(spark, names: list[str], values, model: str | None = None) -> DataFrame:
