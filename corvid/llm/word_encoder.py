@@ -39,14 +39,12 @@ class PieceTable:
         ``make_all`` gives (key, value) of a list of keys."""
         if len(self.young) > self.limit:
             self.old, self.young = self.young, {}
-        young, old, new = self.young, self.old, []
-        for k in keys:              # (a set difference would walk the whole table)
-            if k not in young:
-                if k in old:
-                    young[k] = old[k]
-                else:
-                    new.append(k)
-        young.update(make_all(new))
+        young, old = self.young, self.old
+        missing = keys.difference(young)        # (of the dict: its key view would be walked)
+        new = missing.difference(old)
+        for k in missing - new:
+            young[k] = old[k]
+        young.update(make_all(list(new)))
         return young
 
     def fill(self, keys: set[str], make) -> dict[str, bytes]:
