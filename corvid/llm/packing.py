@@ -85,7 +85,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
         for batch in batches:
             out: list[tuple] = []
             ids = batch.column(0).to_pylist()
-            for doc, packed in zip(ids, enc.encode(batch.column(1).to_pylist())):
+            for doc, packed in zip(ids, enc.encode(batch.column(1))):
                 packed += end
                 n = len(packed) // 4
                 for piece, start in enumerate(range(0, n, seq_len)):

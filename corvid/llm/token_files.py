@@ -123,7 +123,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
         for batch in batches:
             out = out or TokenFileWriter(uri)
             first, count = [], []
-            for packed in enc.encode(batch.column(1).to_pylist()):
+            for packed in enc.encode(batch.column(1)):
                 first.append(out.add(packed + end))
                 count.append(len(packed) // 4 + 1)
             n = len(first)

@@ -1,20 +1,30 @@
 """Whole-text encoding with the tokenizers library, one distinct word at a time.
 
 The vocabularies used here drop white space and never merge across it, so the
-ids of a text are the ids of its blank-separated pieces in order.  Each Python
-worker therefore keeps a bounded table from piece to packed ids and calls the
-library for pieces it has not seen; repeated words (nearly all of a corpus)
-cost one table lookup.
+ids of a text are the ids of its blank-separated pieces in order.  Arrow splits
+a batch of texts, numbers its distinct pieces and cuts them into lower-case word
+and signs; each Python worker keeps bounded tables from word to packed ids and
+calls the library for words that it has not met.  Arrow then puts the ids of all
+pieces in text order, so a repeated word costs no Python inside a batch.
 """
 
 from __future__ import annotations
 
 import os
-import string
 import struct
-import unicodedata
+from collections.abc import Iterator
+from operator import attrgetter
 
-_PUNCT = "".join(c for c in string.punctuation)
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+#: A piece of letters, perhaps with signs after it.  These letters (ASCII, Latin-1
+#: and Latin Extended-A without the dotted capital I) are in composed form, and
+#: each has one lower-case letter of the same set.
+_WORD_AND_SIGNS = "^(?P<word>[A-Za-zÀ-ÖØ-öø-įı-ſ]*)(?P<signs>[[:punct:]]*)$"
+
+_ID = attrgetter("id")
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -64,43 +74,52 @@ class WordEncoder:
         self.lib = Tokenizer.from_file(path)
         self.model = self.lib.model
         self.alphabet = byte_alphabet()
-        self.pieces = PieceTable(limit)
-        self.tails: dict[str, bytes] = {"": b""}
+        self.words = PieceTable(limit)
+        self.others = PieceTable(limit)
 
     def _by_library(self, piece: str) -> bytes:
         ids = self.lib.encode(piece, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    def _tail(self, tail: str) -> bytes:
-        got = self.tails.get(tail)
-        if got is None:
-            got = self._by_library(tail)
-            if len(self.tails) < 10_000:
-                self.tails[tail] = got
-        return got
-
-    def _piece(self, piece: str) -> bytes:
-        """A word of letters, perhaps with signs after it, goes to the
-        library's BPE model directly (letters end where signs begin); every
-        other piece takes the library's full path."""
-        if "<|" not in piece:
-            stem = piece.rstrip(_PUNCT)
-            if not stem:
-                return self._tail(piece)
-            low = stem.lower()
-            if low.isalpha() and len(low) == len(stem) and (
-                    low.isascii() or (max(stem) < "ɐ" and max(low) < "ɐ"
-                                      and unicodedata.is_normalized("NFC", stem))):
-                if not low.isascii():
-                    low = "".join(map(self.alphabet.__getitem__, low.encode("utf-8")))
-                ids = [t.id for t in self.model.tokenize(low)]
-                return struct.pack(f"<{len(ids)}I", *ids) + self._tail(piece[len(stem):])
-        return self._by_library(piece)
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
-        known = self.pieces.fill(set().union(*split), self._piece)
-        return [b"".join(map(known.__getitem__, s)) for s in split]
+    def _word(self, low: str) -> bytes:
+        """A word of letters goes to the library's BPE model directly."""
+        if not low.isascii():
+            low = "".join(map(self.alphabet.__getitem__, low.encode("utf-8")))
+        ids = list(map(_ID, self.model.tokenize(low))) if low else []
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    @staticmethod
+    def _look_up(pieces: pa.Array, table: PieceTable, make) -> pa.Array:
+        """Packed ids of pieces; 64-bit offsets, as they may outgrow the text."""
+        keys = pieces.to_numpy(zero_copy_only=False).tolist()
+        known = table.fill(set(keys), make)
+        return pa.array(list(map(known.__getitem__, keys)), pa.large_binary())
+
+    def _packed(self, pieces: pa.Array) -> pa.Array:
+        """Packed ids of distinct pieces: letters end where signs begin, so word
+        and signs are looked up each for itself; a piece of any other shape
+        takes the library's full path."""
+        parts = pc.extract_regex(pieces, _WORD_AND_SIGNS)
+        words = pc.utf8_lower(pc.struct_field(parts, 0)).dictionary_encode()
+        signs = pc.struct_field(parts, 1).dictionary_encode()
+        packed = pc.binary_join_element_wise(
+            self._look_up(words.dictionary, self.words, self._word).take(words.indices),
+            self._look_up(signs.dictionary, self.others, self._by_library).take(signs.indices),
+            pa.scalar(b"", pa.large_binary()))
+        odd = pc.is_null(parts)
+        return pc.replace_with_mask(packed, odd, self._look_up(pieces.filter(odd), self.others, self._by_library))
+
+    def encode(self, texts: pa.Array | list[str | None]) -> list[bytes]:
+        if not isinstance(texts, pa.Array):
+            texts = pa.array(texts, pa.string())
+        split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        coded = split.flatten().dictionary_encode()
+        if not len(coded):
+            return [b""] * len(texts)
+        _, offsets, data = self._packed(coded.dictionary).take(coded.indices).buffers()
+        at = np.frombuffer(offsets, np.int64)[split.offsets.to_numpy()].tolist()
+        data = memoryview(data) if data else b""
+        return [bytes(data[a:b]) for a, b in zip(at, at[1:])]
 
 
 _ENCODERS: dict[str, WordEncoder] = {}

@@ -17,7 +17,7 @@ SMALL = "/root/testdata/sf0.001"
 ODD = [None, "", " ", "\n", "a", "  two  blanks ", "tab\there", "It's we'll they'RE", "Á ÉtÉ",
        "<|endoftext|> x<|startoftext|>y <|ENDOFTEXT|>", "İstanbul ΣΣΣ", "x\x1cy z\x85w  q",
        "12345 6,7.8", "日本語 ال", "a" * 5000, "!!!??? ...a...b", "é́ ̈x", "​ z\xa0 \xa0y",
-       "word*** <x> | it's''s", "\n\n a\n\nb \n", "ﬁne ẞ Ǆ", "ab\0cd ef"]
+       "word*** <x> | it's''s", "\n\n a\n\nb \n", "v\vt f\fg\r\nh", "WORD Word, word; WORD!", "ÀÉ àé. ŁÓDŹ łódź", "ΑΣ ας ασ K k", "İ ı ſ ŉ Ÿ Ɓ Ⱥ µ ª × ÷ a× ÷b <| a<| <|x", "ﬁne ẞ Ǆ", "ab\0cd ef"]
 
 
 def _docs(spark, texts, extra=True):
