@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corvid.keys import key
+from corvid.keys.splits_sql import split_sql
 from corvid.operators import explain as X
 from corvid.operators import models as M
 from corvid.operators import prep
@@ -85,17 +86,24 @@ def explain_text(spark, sf):
     return X.explain_rows(top, preds)
 
 
-@key("shapley_tree")
+@key("shapley_tree", split_sql("sig", "sp", 0.2, 42)
+     + f"SELECT id, CAST({len(FEATS)} AS BIGINT) AS n_features, true AS adds_up FROM sp WHERE split = 'test'")
 def shapley_tree(spark, sf):
-    """K5 on a fitted tree model (rows check; the sum property is tested)."""
+    """K5 on a fitted tree: of every held-out row the attributions of all
+    features add up to its score less the score of the baseline row."""
     sp = prep.stratified_split(views.sig(spark, sf), test_size=0.2, seed=42).cache()
-    train = sp.where(F.col("split") == "train")
+    train, test = sp.where(F.col("split") == "train"), sp.where(F.col("split") == "test")
     m = M.fit(train, FEATS, "dt", {"maxDepth": 6})
     med = prep.fit_median(train, FEATS)
 
-    def score(frame):
-        return M.score(m, frame, ["id", "_m"]).withColumnRenamed("p1", "_v")
-    return X.shapley_topk(sp.where(F.col("split") == "test"), FEATS, med, score, 5)
+    def score(frame, keep=("id", "_m")):
+        return M.score(m, frame, list(keep)).withColumnRenamed("p1", "_v")
+    base = spark.createDataFrame([tuple(float(med[c]) for c in FEATS)], ", ".join(f"{c} double" for c in FEATS))
+    at_base = score(base, ()).first()["_v"]
+    phi = X.shapley(test, FEATS, med, score).groupBy("id") \
+        .agg(F.count("value").alias("n_features"), F.sum("value").alias("total"))
+    gap = F.col("_v") - F.lit(float(at_base)) - F.col("total")
+    return score(test, ("id",)).join(phi, "id").select("id", "n_features", (F.abs(gap) < 1e-9).alias("adds_up"))
 
 
 @key("explain_first", _TOP_SQL + """SELECT id, feature, round(value, 4) AS value, rank FROM tk

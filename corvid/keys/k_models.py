@@ -1,7 +1,8 @@
 """Keys for model fitting, training plans and scoring (J, K1-K4, A12, A14,
 G6).  Fits run on the train side of the md5 split of V_SIG and score the
 held-out side; these are rows checks (plus quality floors in the tests),
-except the ensemble vote, which has an oracle on fixed-formula scores."""
+except naive Bayes, whose fit and scores SQL states in closed form, and the
+ensemble vote, which has an oracle on fixed-formula scores."""
 
 from __future__ import annotations
 
@@ -13,7 +14,7 @@ from corvid.functions import labels as L
 from corvid.keys import key
 from corvid.keys.k_evaluate import SCORERS
 from corvid.keys.shapes import koi_like, toi_like
-from corvid.keys.splits_sql import split_sql
+from corvid.keys.splits_sql import gaussian_nb_sql, split_sql
 from corvid.operators import models as M
 from corvid.operators import prep
 from corvid.operators import rank as R
@@ -43,11 +44,25 @@ def _fit_and_score(family):
     return run
 
 
-for _fam in ("rf", "gbt_hist", "gbt_xgb", "gbt_cat", "gbt", "logreg", "dt", "nb", "svc", "mlp",
+for _fam in ("rf", "gbt_hist", "gbt_xgb", "gbt_cat", "gbt", "logreg", "dt", "svc", "mlp",
              "adaboost", "subspace", "stacking"):
     key(f"fit_{_fam}")(_fit_and_score(_fam))
 
 
+def rounded(scored):
+    """Probabilities to four digits, as both engines agree on them."""
+    return scored.withColumns({c: F.round(c, 4) for c in ("p1", "confidence")})
+
+
+NB_ROWS = """SELECT id, {label}prediction, round(p1, 4) AS p1, round(greatest(p1, 1.0 - p1), 4) AS confidence FROM nb"""
+
+
+@key("fit_nb", split_sql("sig", "sp", 0.2, 42) + gaussian_nb_sql("sp", "nb", FEATS) + NB_ROWS.format(label="label, "))
+def fit_nb(spark, sf):
+    """Class means, variances and posteriors equal the closed form."""
+    return rounded(_fit_and_score("nb")(spark, sf))
+
+
 @key("cross_validate")
 def cross_validate(spark, sf):
     folds = T.cross_validate(views.sig(spark, sf), FEATS, "logreg", 5)
@@ -104,13 +119,15 @@ def batch_score(spark, sf):
     return S.batch_score(models, unlabeled)
 
 
-@key("single_score")
+@key("single_score", split_sql("sig", "sp", 0.2, 42) + gaussian_nb_sql("sp", "nb", FEATS, absent=("st_rad",))
+     + NB_ROWS.format(label="label, "))
 def single_score(spark, sf):
+    """K4 against the closed form of naive Bayes."""
     sp = split_sig(spark, sf).cache()
-    m = M.fit(sp.where(F.col("split") == "train"), FEATS, "dt")
+    m = M.fit(sp.where(F.col("split") == "train"), FEATS, "nb")
     # scoring input lacks one trained feature (aligned to 0.0) and has an extra
     test = sp.where(F.col("split") == "test").drop("st_rad").withColumn("extra", F.lit(1.0))
-    return S.single_score(m, test)
+    return rounded(S.single_score(m, test))
 
 
 _VOTE = list(SCORERS)[:4]
@@ -196,10 +213,27 @@ def manual_rows(spark, sf):
     return io.validate_manual(recs)
 
 
-@key("best_iteration")
+@key("best_iteration", """, lg AS (SELECT CAST(year(o_orderdate) * 12 + month(o_orderdate) AS INTEGER) AS iter,
+    CAST(count(*) FILTER (o_orderstatus = 'F') AS DOUBLE) / count(*) AS loss FROM orders GROUP BY 1)
+SELECT iter AS best_iter, loss AS best_logloss FROM lg ORDER BY loss, iter LIMIT 1""")
 def best_iteration(spark, sf):
-    """A boosted model's per-iteration validation loss is written as a
-    tab-separated training log, read back, and its best iteration found."""
+    """A log of one loss per iteration (here: the share of finished orders
+    in each month) is written tab-separated, read back, and its best iteration
+    found; of equal losses the earliest."""
+    from corvid.sources import io
+    from corvid.sources.tables import load
+    when = F.col("o_orderdate")
+    log = load(spark, sf, "orders").groupBy((F.year(when) * 12 + F.month(when)).cast("int").alias("iter")) \
+        .agg((F.count_if(F.col("o_orderstatus") == "F").cast("double") / F.count(F.lit(1))).alias("Logloss"))
+    path = scratch_dir(spark, f"log-{uuid.uuid4().hex}")
+    io.write_training_log(log, path)
+    return io.best_iteration(io.read_training_log(spark, path), "Logloss", "iter", "min")
+
+
+@key("boosting_log")
+def boosting_log(spark, sf):
+    """A16 on a real log: per-iteration validation loss of a boosted model,
+    written, read back, best iteration."""
     from pyspark.ml.classification import GBTClassificationModel
     from corvid.sources import io
     sp = split_sig(spark, sf).cache()

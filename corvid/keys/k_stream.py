@@ -1,5 +1,5 @@
-"""Keys for the streaming forms (S1, S2): rows checks; the tests assert
-that each equals its batch form (A8, K2) on the same files."""
+"""Keys for the streaming forms (S1, S2); the tests assert that each equals
+its batch form (A8, K2) on the same files."""
 
 from __future__ import annotations
 
@@ -8,7 +8,9 @@ import uuid
 from pyspark.sql import functions as F
 
 from corvid.keys import key
+from corvid.keys.k_models import NB_ROWS, rounded
 from corvid.keys.k_sources import _BATCHES_SQL, _batches
+from corvid.keys.splits_sql import gaussian_nb_sql, split_sql
 from corvid.operators import models as M
 from corvid.operators import prep
 from corvid.session import scratch_dir
@@ -30,16 +32,18 @@ def stream_append(spark, sf):
     return ST.read_master(spark, f"{root}/master")
 
 
-@key("stream_score")
+@key("stream_score", split_sql("sig", "sp", 0.2, 42) + gaussian_nb_sql("sp", "nb", views.OBS_FEATURES)
+     + NB_ROWS.format(label=""))
 def stream_score(spark, sf):
-    """New V_SIG rows are scored by a saved model as they land."""
+    """New V_SIG rows are scored by a saved model as they land (naive Bayes,
+    whose scores SQL states in closed form)."""
     root = scratch_dir(spark, f"stream-score-{uuid.uuid4().hex}")
     sp = prep.stratified_split(views.sig(spark, sf), test_size=0.2, seed=42).cache()
     feats = views.OBS_FEATURES
-    m = M.fit(sp.where(F.col("split") == "train"), feats, "dt", {"maxDepth": 8})
+    m = M.fit(sp.where(F.col("split") == "train"), feats, "nb")
     M.save(m, f"{root}/model")
     test = sp.where(F.col("split") == "test").select("id", *feats)
     test.write.parquet(f"{root}/drop")
     q = ST.continuous_scoring(spark, f"{root}/drop", test.schema, f"{root}/model", f"{root}/out", f"{root}/ckpt")
     ST.run_to_end(q)
-    return spark.read.parquet(f"{root}/out")
+    return rounded(spark.read.parquet(f"{root}/out"))
