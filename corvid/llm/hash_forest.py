@@ -4,22 +4,30 @@ Every tree holds all vectors sorted by a 64-bit hash string of random
 hyperplane signs.  A query descends in every tree to the rows that share its
 longest prefix and then ascends in all trees at once, one bit a step, until the
 rows found under the shorter prefix are enough; these are compared exactly.
-Vectors of unequal norms get one more coordinate that makes the norms equal, so
-the largest inner product is the smallest angle.
+Rows are hashed without their mean, which shifts every score of one query by the
+same amount, and with one more coordinate that makes the norms equal, so the
+largest inner product is the smallest angle.  That coordinate drowns short
+vectors beside long ones, so rows of like norms form a band with a forest and a
+top norm of its own.
+
+How many rows are enough is measured on the data: SAMPLE queries (the smallest
+hashes of their ids) are also searched by brute force, and the band that loses
+most of their neighbours per row is widened until they have a recall of RECALL
+on average and of FLOOR in all but a twentieth of them.  A band whose trees
+would give as many rows as it holds is searched whole, which is exact.
 
 The sorted arrays are partitioned by (tree, first bits); a large part is cut
 into blocks that each query visits, so no task holds more than BLOCK rows.  The
 first pass moves hashes only and yields, per query and tree, how many rows share
 each prefix length; the sums fix the level per query.  The second pass compares
 inside the parts and returns only each part's best rows.  A query that finds too
-few rows in its own parts visits every part of one tree, which is exact.
+few rows in its own parts of a band visits every part of one tree, which is exact.
 
 Equal vectors are one class with its smallest ids (k + 1 of them can matter), so
 copies cost one row, and equal queries are searched once.
 
-With 24 trees and a width of 1/32 of the rows per tree, recall at 20 is above
-0.9 even for isotropic vectors (no clusters to find), where that takes about
-half of all rows per query; clustered vectors allow a smaller width.
+Isotropic vectors (no clusters to find) of many dimensions end with every row
+compared with every query; clustered vectors need a small share of the rows.
 
 Edge cases: vectors that are null, zero, of another length than the most
 frequent one (the larger if even) or hold null or non-finite components take no
@@ -41,8 +49,12 @@ from pyspark.sql import functions as F
 from corvid.llm.common import materialise
 
 TREES = 24
-WIDTH = 1 / 32             # share of the rows a tree gives at least, on average
+WIDTH = 1 / 32             # largest share of a band's rows that each tree is asked for
+STEPS = 6                  # shares tried: the largest and its halves
 LEAST = 256                # rows a tree gives at least
+BANDS = 8                  # forests for rows of like norms; the last takes all shorter rows
+SAMPLE = 128               # queries searched by brute force as well
+RECALL, FLOOR = 0.95, 0.75
 BLOCK = 8192
 LEVELS = 24                # prefix lengths beyond the parts' own that are counted
 
@@ -68,6 +80,59 @@ def _prefix(h: np.ndarray, bits: int) -> np.ndarray:
     return h >> np.uint64(64 - bits) if bits else np.zeros_like(h)
 
 
+def _centre(classes: DataFrame, dim: int) -> np.ndarray:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(dim)
+        for batch in batches:
+            if len(batch):
+                total += _matrix(batch.column(0)).sum(axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(range(dim), pa.int32()), pa.array(total)], ["i", "x"])
+
+    sums = classes.select("v").mapInArrow(run, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).collect()
+    return np.array([r["x"] for r in sorted(sums)])
+
+
+def _octave(square: np.ndarray) -> np.ndarray:
+    """Whole part of the binary logarithm of squared norms, plus one; 0 has the least."""
+    return np.where(square > 0, np.frexp(square)[1], -2000)
+
+
+def _bands(classes: DataFrame, centre: np.ndarray, small: int) -> list[tuple[int, int, float]]:
+    """(lowest octave, rows, top squared norm) per band, the longest rows first.
+
+    A band spans norms that differ by at most twice, or has at most ``small`` rows."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch):
+                square = ((_matrix(batch.column(0)) - centre) ** 2).sum(axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(_octave(square), pa.int32()), pa.array(square)], ["o", "square"])
+
+    found = classes.select("v").mapInArrow(run, "o int, square double").groupBy("o") \
+        .agg(F.count(F.lit(1)).alias("n"), F.max("square").alias("top")).orderBy(F.desc("o")).collect()
+    out: list[list] = []                       # highest octave, lowest, rows, top
+    for r in found:
+        if out and (len(out) == BANDS or out[-1][0] - r["o"] < 2 or out[-1][2] + r["n"] <= small):
+            out[-1][1:3] = r["o"], out[-1][2] + r["n"]
+        else:
+            out.append([r["o"], r["o"], r["n"], r["top"]])
+    return [(low, n, top) for _, low, n, top in out]
+
+
+def _widths(missed, sizes: list[int], steps: list[list[int | None]], total: np.ndarray) -> list[int | None]:
+    """Per band the rows that are enough (None: the whole band).  ``missed(b, enough)``
+    gives the neighbours that each sample query loses in band ``b``, of ``total``."""
+    at = [0] * len(sizes)
+    lost = [missed(b, steps[b][0]) for b in range(len(sizes))]
+    asked = total > 0
+    while True:
+        recall = 1 - sum(lost)[asked] / total[asked]
+        if not len(recall) or (recall.mean() >= RECALL and np.quantile(recall, 0.05) >= FLOOR):
+            return [steps[b][i] for b, i in enumerate(at)]
+        b = max(range(len(sizes)), key=lambda x: lost[x].sum() / sizes[x])
+        at[b] += 1
+        lost[b] = missed(b, steps[b][at[b]])
+
+
 def clean(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(vec_id, v): the rows that take part, one per id."""
     v = F.col("v")
@@ -83,6 +148,63 @@ def clean(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -
         .groupBy("vec_id").agg(F.min("v").alias("v"))
 
 
+def _measured(classes: DataFrame, distinct: DataFrame, sums: DataFrame, k: int, steps: list, held: list[int],
+              part_bits: list[int], trees: int, query_hash, row_hash, band_of, centre: np.ndarray) -> list[int | None]:
+    """Per band the rows that are enough, by the brute-force neighbours of SAMPLE queries."""
+    sample = distinct.orderBy(F.xxhash64("qid"), "qid").limit(SAMPLE).collect()
+    if not sample:
+        return [step[-1] for step in steps]
+    qid, q = np.array([r["qid"] for r in sample]), np.array([r["v"] for r in sample])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each task's k nearest rows of every sample query."""
+        best = [(np.zeros(0), np.zeros((0, q.shape[1])), np.zeros(0, np.int64)) for _ in qid]
+        for batch in batches:
+            if not len(batch):
+                continue
+            cid, v = batch.column(0).to_numpy(), _matrix(batch.column(1))
+            dots = q @ v.T
+            for i, (score, rows, ids) in enumerate(best):
+                # the query's own vector is no neighbour
+                some = np.argpartition(-dots[i], k)[:k + 1] if len(v) > k + 1 else np.arange(len(v))
+                some = some[(v[some] != q[i]).any(axis=1)]
+                score, rows, ids = np.append(score, dots[i][some]), np.vstack([rows, v[some]]), np.append(ids, cid[some])
+                top = np.lexsort((ids, -score))[:k]
+                best[i] = score[top], rows[top], ids[top]
+        score, rows, ids = (np.concatenate(x) for x in zip(*best))
+        v = rows - centre
+        square = (v * v).sum(axis=1)
+        h = row_hash(v, square)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.repeat(np.arange(len(qid)), [len(b[0]) for b in best]).astype(np.int32)), pa.array(ids), pa.array(score),
+             pa.array(band_of(square).astype(np.int32)),
+             pa.ListArray.from_arrays(pa.array(np.arange(len(h) + 1, dtype=np.int32) * trees), pa.array(h.view(np.int64).ravel()))],
+            ["i", "cid", "score", "band", "h"])
+
+    nearest = Window.partitionBy("i").orderBy(F.desc("score"), "cid")
+    truth = classes.select("cid", "v").mapInArrow(run, "i int, cid long, score double, band int, h array<long>") \
+        .withColumn("r", F.row_number().over(nearest)).filter(F.col("r") <= k).select("i", "band", "h").collect()
+    of, band = np.array([r["i"] for r in truth], int), np.array([r["band"] for r in truth], int)
+    theirs = np.array([r["h"] for r in truth], np.int64).reshape(-1, trees).view(np.uint64)
+    apart = theirs ^ query_hash(q)[of]
+    shared = np.zeros(len(truth), int)         # longest prefix that any tree shares
+    for bits in range(1, 65):
+        shared[(_prefix(apart, bits) == 0).any(axis=1)] = bits
+    found = np.zeros((len(held), len(qid), LEVELS + 1), np.int64)
+    for r in sums.join(F.broadcast(distinct.sparkSession.createDataFrame([(int(x),) for x in qid], "id long")), "id").collect():
+        found[r["band"], np.nonzero(qid == r["id"])[0][0]] = r["s"]
+
+    def missed(b: int, enough: int | None) -> np.ndarray:
+        if enough is None:
+            return np.zeros(len(qid), int)
+        level = (found[b] >= enough).sum(axis=1) - 1
+        whole = (level < 0) | (found[b][np.arange(len(qid)), level] >= held[b])
+        lost = (band == b) & ~whole[of] & (shared < part_bits[b] + level[of])
+        return np.bincount(of[lost], minlength=len(qid))
+
+    return _widths(missed, held, steps, np.bincount(of, minlength=len(qid)))
+
+
 def search(rows: DataFrame, queries: DataFrame, k: int = 20, trees: int = TREES, width: float = WIDTH,
            least: int = LEAST, block: int = BLOCK, seed: int = 11) -> DataFrame:
     """(query_id, rank, vec_id, score): rows and queries are ``clean`` tables;
@@ -94,33 +216,55 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 20, trees: int = TREES,
         .select(F.get("ids", F.lit(0)).alias("cid"), "ids", "v")
     classes = materialise(classes, "vector-classes")
     distinct = materialise(queries.groupBy("v").agg(F.min("vec_id").alias("qid")), "query-classes")
-    norm = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
-    n, dim, top = classes.agg(F.count(F.lit(1)), F.max(F.size("v")), F.max(norm)).collect()[0]
+    n, dim = classes.agg(F.count(F.lit(1)), F.max(F.size("v"))).collect()[0]
     out = "query_id long, rank int, vec_id long, score double"
     if not n:
         return spark.createDataFrame([], out)
-    each = max(n * width, least)
-    target = max(0, int(math.log2(max(1.0, n / each))))      # prefix length that gives about as many
-    part_bits = max(0, target - 2)
-    enough = int(trees * each)
+    centre = _centre(classes, dim)
+    bands = _bands(classes, centre, trees * least)
+    lows = np.array([-low for low, _, _ in bands])
+    tops = np.array([top for _, _, top in bands])
+    held = [size for _, size, _ in bands]
+    each = [max(size * width, least) for size in held]
+    # two bits short of the prefix that gives about as many
+    part_bits = [max(0, int(math.log2(max(1.0, size / e))) - 2) for size, e in zip(held, each)]
+    # per band the rows that all trees together shall give; None: the whole band
+    steps = [sorted({x for x in (int(trees * max(e / 2 ** i, least)) for i in range(STEPS)) if x < size}) + [None]
+             for size, e in zip(held, each)]
     seeded = planes(dim, trees, seed)
 
+    def band_of(square: np.ndarray) -> np.ndarray:
+        return np.minimum(np.searchsorted(lows, -_octave(square)), len(lows) - 1)
+
+    # tree t of band b has the number b * trees + t; a band that is searched
+    # whole in any case has one tree
     def hashed(kind: str):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
+                if not len(batch):
+                    continue
                 v = _matrix(batch.column(1))
-                extra = np.sqrt(np.maximum(0, top - (v * v).sum(axis=1))) if kind == "rows" else np.zeros(len(v))
-                h = hashes(v, extra, seeded) if len(v) else np.zeros((0, trees), np.uint64)
-                for t in range(trees):
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column(0), pa.array([t] * len(v), pa.int32()), pa.array(h[:, t].view(np.int64)),
-                         pa.array(_prefix(h[:, t], part_bits).astype(np.int32))], ["id", "tree", "h", "part"])
+                if kind == "rows":
+                    v = v - centre
+                    square = (v * v).sum(axis=1)
+                    band = band_of(square)
+                    h = hashes(v, np.sqrt(np.maximum(0, tops[band] - square)), seeded)
+                else:
+                    h = hashes(v, np.zeros(len(v)), seeded)
+                for b in range(len(bands)):
+                    mine = np.nonzero(band == b)[0] if kind == "rows" else np.arange(len(v))
+                    for t in range(trees if len(steps[b]) > 1 else kind == "rows"):
+                        mh = h[mine, t]
+                        yield pa.RecordBatch.from_arrays(
+                            [batch.column(0).take(pa.array(mine)), pa.array([b * trees + t] * len(mine), pa.int32()),
+                             pa.array(mh.view(np.int64)), pa.array(_prefix(mh, part_bits[b]).astype(np.int32))],
+                            ["id", "tree", "h", "part"])
         return run
 
     slim = "id long, tree int, h long, part int"
     row_hash = classes.select("cid", "v").mapInArrow(hashed("rows"), slim)
     query_hash = distinct.select("qid", "v").mapInArrow(hashed("queries"), slim)
-    # at most trees * 2^part_bits parts, and 2^part_bits <= 1 / (4 * width)
+    # at most BANDS * trees * 2^part_bits parts, and 2^part_bits <= 1 / (4 * width)
     sizes = {(r["tree"], r["part"]): r["n"] for r in row_hash.groupBy("tree", "part").agg(F.count(F.lit(1)).alias("n")).collect()}
     parts = spark.createDataFrame([(t, p, -(-c // block)) for (t, p), c in sizes.items()], "tree int, part int, blocks int")
     row_hash = row_hash.join(F.broadcast(parts), ["tree", "part"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
@@ -131,28 +275,45 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 20, trees: int = TREES,
         rows_h = np.sort(left["h"].to_numpy().view(np.uint64))
         h = right["h"].to_numpy().view(np.uint64)
         found = np.zeros((len(h), LEVELS + 1), np.int64)
+        band = left["tree"][0].as_py() // trees if len(left) else 0
         for level in range(LEVELS + 1):
-            bits = min(64, part_bits + level)
+            bits = min(64, part_bits[band] + level)
             mine, theirs = _prefix(h, bits), _prefix(rows_h, bits)
             found[:, level] = np.searchsorted(theirs, mine, "right") - np.searchsorted(theirs, mine, "left")
         flat = pa.array(found.ravel())
-        return pa.table({"id": right["id"], "found": pa.ListArray.from_arrays(
+        return pa.table({"id": right["id"], "band": pa.array([band] * len(h), pa.int32()), "found": pa.ListArray.from_arrays(
             pa.array(np.arange(len(h) + 1, dtype=np.int32) * (LEVELS + 1)), flat)})
 
     where = ["tree", "part", "block"]
-    found = row_hash.select(*where, "h").groupBy(*where).cogroup(visits.select(*where, "id", "h").groupBy(*where)) \
-        .applyInArrow(counts, "id long, found array<long>")
-    sums = found.groupBy("id").agg(F.array(*[F.sum(F.get("found", F.lit(i))) for i in range(LEVELS + 1)]).alias("s"))
-    # the longest prefix under which all trees together give enough; -1: not even the parts do
-    level = F.size(F.filter("s", lambda x: x >= enough)) - 1
-    levels = materialise(distinct.join(sums.select(F.col("id").alias("qid"), level.alias("level")), "qid", "left")
-                         .select("qid", "v", F.coalesce("level", F.lit(-1)).alias("level")), "query-levels")
-    near = visits.join(levels.filter("level >= 0"), F.col("id") == F.col("qid")) \
-        .select(*where, "qid", "h", "v", (F.col("level") + part_bits).alias("bits"))
-    root = levels.filter("level < 0").withColumn("p", F.explode(F.array(*[
-        F.struct(F.lit(0).alias("tree"), F.lit(p).alias("part"), F.lit(b).alias("block"))
-        for (t, p), c in sorted(sizes.items()) if t == 0 for b in range(-(-c // block))]))) \
-        .select("p.tree", "p.part", "p.block", "qid", F.lit(0).cast("long").alias("h"), "v", F.lit(0).alias("bits"))
+    forest = [b * trees + t for b in range(len(bands)) if len(steps[b]) > 1 for t in range(trees)]
+    found = row_hash.filter(F.col("tree").isin(forest)).select(*where, "h").groupBy(*where).cogroup(visits.select(*where, "id", "h").groupBy(*where)) \
+        .applyInArrow(counts, "id long, band int, found array<long>")
+    sums = found.groupBy("id", "band").agg(F.array(*[F.sum(F.get("found", F.lit(i))) for i in range(LEVELS + 1)]).alias("s"))
+    if forest:
+        sums = materialise(sums, "prefix-counts")
+        enough = _measured(classes, distinct, sums, k, steps, held, part_bits, trees,
+                           lambda v: hashes(v, np.zeros(len(v)), seeded),
+                           lambda v, square: hashes(v, np.sqrt(np.maximum(0, tops[band_of(square)] - square)), seeded),
+                           band_of, centre)
+    else:
+        enough = [None] * len(bands)
+    wanted = spark.createDataFrame([(b, enough[b], held[b], part_bits[b]) for b in range(len(bands))],
+                                   "band int, enough long, held long, part_bits int")
+    # the longest prefix under which all trees together give enough; -1: the
+    # whole band, also where the trees would give as many rows
+    level = F.size(F.filter("s", lambda x: x >= F.col("enough"))) - 1
+    level = F.when(F.col("enough").isNull() | F.col("s").isNull() | (F.get("s", level) >= F.col("held")), -1).otherwise(level)
+    levels = distinct.crossJoin(F.broadcast(wanted)) \
+        .join(sums.select(F.col("id").alias("qid"), "band", "s"), ["qid", "band"], "left") \
+        .select("qid", "v", "band", "part_bits", level.alias("level"))
+    levels = materialise(levels, "query-levels")
+    near = visits.withColumn("band", F.floor(F.col("tree") / trees).cast("int")) \
+        .join(levels.filter("level >= 0").withColumnRenamed("qid", "id"), ["id", "band"]) \
+        .select(*where, F.col("id").alias("qid"), "h", "v", (F.col("level") + F.col("part_bits")).alias("bits"))
+    blocks = spark.createDataFrame([(t // trees, t, p, b) for (t, p), c in sorted(sizes.items()) if t % trees == 0
+                                    for b in range(-(-c // block))], "band int, tree int, part int, block int")
+    root = levels.filter("level < 0").join(F.broadcast(blocks), "band") \
+        .select(*where, "qid", F.lit(0).cast("long").alias("h"), "v", F.lit(0).alias("bits"))
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
         if not len(left) or not len(right):
@@ -190,7 +351,8 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 20, trees: int = TREES,
         return pa.table({"qid": np.concatenate([g[0] for g in got]), "cid": np.concatenate([g[1] for g in got]),
                          "score": np.concatenate([g[2] for g in got])})
 
-    full_rows = row_hash.join(classes.select("cid", "v"), F.col("id") == F.col("cid")).select(*where, "cid", "h", "v")
+    visited = [t for b in range(len(bands)) for t in range(b * trees, b * trees + (1 if enough[b] is None else trees))]
+    full_rows = row_hash.filter(F.col("tree").isin(visited)).join(classes.select("cid", "v"), F.col("id") == F.col("cid")).select(*where, "cid", "h", "v")
     pairs = full_rows.groupBy(*where).cogroup(near.unionByName(root).groupBy(*where)) \
         .applyInArrow(compare, "qid long, cid long, score double")
     nearest = Window.partitionBy("qid").orderBy(F.desc("score"), "cid")

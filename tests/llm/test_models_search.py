@@ -116,3 +116,34 @@ def test_copies_blocks_and_root_visits(spark, block):
         s[q] = -np.inf
         hits += len(set(mine.vec_id) & set(np.lexsort((np.arange(1500), -np.round(s, 9)))[:20]))
     assert len(got) == 75 * 20 and hits / len(got) > 0.9
+
+
+def _hard_vectors(kind, dim, n=8_000):
+    rng = np.random.default_rng(dim)
+    v = rng.standard_normal((n, dim))
+    if kind == "mean":
+        v += 2 * rng.standard_normal(dim)
+    if kind == "clusters":
+        v = 2 * rng.standard_normal((40, dim))[rng.integers(0, 40, n)] + 0.5 * v
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    if kind == "skewed":
+        v *= rng.lognormal(0, 1.5, (n, 1))
+    if kind == "outliers":
+        v[rng.permutation(n)[:n // 100]] *= 5
+        v[7] *= 1000
+    return v
+
+
+@pytest.mark.parametrize("kind,dim", [("unit", 384), ("skewed", 64), ("skewed", 384), ("outliers", 64), ("mean", 64),
+                                      ("mean", 384), ("clusters", 64)])
+def test_recall_whatever_the_dimension_and_norms(spark, kind, dim):
+    v = _hard_vectors(kind, dim)
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(v.tolist())], "vec_id long, embedding array<double>")
+    got = hash_forest.neighbours(df, every=50).toPandas()
+    each = []
+    for q, mine in got.groupby("query_id"):
+        s = v @ v[q]
+        s[q] = -np.inf
+        each.append(len(set(mine.vec_id) & set(np.argsort(-s)[:20])) / 20)
+    print("recall", kind, dim, np.mean(each), np.min(each))
+    assert len(each) == 160 and np.mean(each) >= 0.92 and np.quantile(each, 0.05) >= 0.6
