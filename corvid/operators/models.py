@@ -91,7 +91,7 @@ PRESETS = {
 DISPLAY = {"rf": "Random Forest", "gbt_hist": "HistGradientBoosting", "gbt_xgb": "XGBoost",
            "gbt_cat": "CatBoost", "gbt": "Gradient Boosting", "logreg": "Logistic Regression",
            "dt": "Decision Tree", "nb": "Naive Bayes", "svc": "Support Vector Machine",
-           "mlp": "Neural Network", "adaboost": "AdaBoost", "subspace": "RandomSubspace",
+           "mlp": "Neural Network", "knn": "K-Nearest Neighbors", "adaboost": "AdaBoost", "subspace": "RandomSubspace",
            "stacking": "Stacking"}
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from corvid.functions import labels as L
 from corvid.operators import evaluate as E
 from corvid.operators import models as M
+from corvid.operators import neighbors as N
 from corvid.operators import prep
 from corvid.session import reliable_checkpoint
 from corvid.sources import io
@@ -27,6 +28,30 @@ def _metrics(scored: DataFrame) -> dict:
     return E.binary_metrics(scored, "label", "prediction", "p1").first().asDict()
 
 
+def _fit(train: DataFrame, features: list[str], family: str, params: dict | None = None,
+         label: str = "label", id_col: str = "id"):
+    """A fitted family as a function that scores rows.  k nearest neighbours
+    ("knn", 5 unless ``params`` has ``k``) have no model: they keep the train
+    rows, filled and scaled by the train side's own statistics."""
+    if family != "knn":
+        m = M.fit(train, features, family, params, label, id_col)
+        return lambda rows: M.score(m, rows)
+    medians = prep.fit_median(train, features)
+    feats = [c for c in features if c in medians]
+    scales = prep.fit_standard(prep.apply_fill(train, medians), feats)
+
+    def ready(rows: DataFrame) -> DataFrame:
+        rows = rows.select(id_col, label, *[F.col(c).cast("double").alias(c) for c in feats])
+        return prep.apply_scale(prep.apply_fill(rows, medians), scales)
+
+    def score(rows: DataFrame) -> DataFrame:
+        votes = N.knn_classify(ready(train), ready(rows), feats, (params or {}).get("k", 5), id_col, label)
+        p1 = F.when(F.col("prediction") == 1, F.col("share")).otherwise(1.0 - F.col("share"))
+        return rows.select(id_col, label).join(votes.withColumn("prediction", F.col("prediction").cast("int")), id_col) \
+            .select(id_col, label, "prediction", p1.alias("p1"))
+    return score
+
+
 def cross_validate(df: DataFrame, features: list[str], family: str, k: int = 5, balance: str = "none",
                    params: dict | None = None, id_col: str = "id") -> DataFrame:
     """Stratified k folds; balancing is applied inside the training
@@ -35,9 +60,7 @@ def cross_validate(df: DataFrame, features: list[str], family: str, k: int = 5,
     rows = []
     for f in range(k):
         train = prep.balance(folded.where(F.col("fold") != f), balance, features, "label", id_col)
-        m = M.fit(train, features, family, params, "label", id_col)
-        s = M.score(m, folded.where(F.col("fold") == f))
-        met = _metrics(s)
+        met = _metrics(_fit(train, features, family, params, "label", id_col)(folded.where(F.col("fold") == f)))
         rows.append((f, *[met[x] for x in METRICS]))
     spark = df.sparkSession
     return spark.createDataFrame(rows, "fold int, " + ", ".join(f"{m} double" for m in METRICS))
@@ -53,9 +76,9 @@ def compare_models(train: DataFrame, test: DataFrame, features: list[str], famil
     rows = []
     for fam in families:
         t0 = time.time()
-        m = M.fit(train, features, fam, (params or {}).get(fam))
+        scorer = _fit(train, features, fam, (params or {}).get(fam))
         t1 = time.time()
-        s = M.score(m, test).cache()
+        s = scorer(test).cache()
         met = _metrics(s)
         t2 = time.time()
         s.unpersist()
@@ -71,24 +94,26 @@ def compare_models(train: DataFrame, test: DataFrame, features: list[str], famil
     return out
 
 
-def train_per_source(df: DataFrame, source_col: str, features: list[str], family: str,
-                     test_size: float = 0.2, min_rows: int = 30) -> DataFrame:
-    """One model per source and one on the union; a source under
-    ``min_rows`` keeps its row, with its count and null metrics."""
+def train_per_source(df: DataFrame, source_col: str, features: list[str], families: list[str],
+                     test_size: float = 0.2, min_rows: int = 30, params: dict | None = None) -> DataFrame:
+    """Per family one model for each source and one on the union, all on
+    the same split; a source under ``min_rows`` keeps its rows, with its count
+    and null metrics."""
     sources = [r[0] for r in df.select(source_col).distinct().collect()]   # bounded: source list
     rows = []
     for name in sorted(sources) + [None]:
         part = df if name is None else df.where(F.col(source_col) == name)
         n = part.count()
         if n < min_rows:
-            rows.append((name or "ALL", n, *[None] * len(METRICS)))
+            rows += [(name or "ALL", M.DISPLAY.get(fam, fam), n, *[None] * len(METRICS)) for fam in families]
             continue
         sp = prep.stratified_split(part, test_size=test_size).cache()
-        m = M.fit(sp.where(F.col("split") == "train"), features, family)
-        met = _metrics(M.score(m, sp.where(F.col("split") == "test")))
-        rows.append((name or "ALL", n, *[met[x] for x in METRICS]))
+        for fam in families:
+            scorer = _fit(sp.where(F.col("split") == "train"), features, fam, (params or {}).get(fam))
+            met = _metrics(scorer(sp.where(F.col("split") == "test")))
+            rows.append((name or "ALL", M.DISPLAY.get(fam, fam), n, *[met[x] for x in METRICS]))
         sp.unpersist()
-    return df.sparkSession.createDataFrame(rows, "source string, n_rows long, " + ", ".join(f"{m} double" for m in METRICS))
+    return df.sparkSession.createDataFrame(rows, "source string, model string, n_rows long, " + ", ".join(f"{m} double" for m in METRICS))
 
 
 def persist_split(split_df: DataFrame, path: str, id_col: str = "id") -> None:
