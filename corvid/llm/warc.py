@@ -4,7 +4,7 @@ Writing: payload digests decide, per group of equal payloads, which page is the
 response; the others become revisit records that name it.  Each task streams
 its records into gzip-member archives in the shared folder and sorts its index
 entries into bounded runs by URL key and capture time.  Merging: the runs are
-range-partitioned by (URL key, time, page) and in each range a k-way loser tree
+range-partitioned by (URL key, time, page, run, place in the run) and in each range a k-way loser tree
 merges the slices of all runs, so the partitions in order hold the globally
 ordered capture histories.  Reading: index entries are grouped by archive and
 every record is read by its offset, unpacked, parsed and its digest checked.
@@ -236,7 +236,8 @@ def merge_index(runs: DataFrame) -> DataFrame:
             .append_column("place", pa.array(range(n), pa.int64()))
         yield from t.combine_chunks().to_batches()
 
-    return runs.select(names).repartitionByRange(ranges, "urlkey", "captured", "page_id") \
+    # run and place in it spread entries of one key; the merge keeps their order too
+    return runs.select(names).repartitionByRange(ranges, "urlkey", "captured", "page_id", "run", "pos") \
         .sortWithinPartitions("run", "pos").mapInArrow(merge, INDEX_SCHEMA + ", range int, place long")
 
 

@@ -88,3 +88,13 @@ def test_damage_is_found():
     z = zlib.compressobj(6, zlib.DEFLATED, 31)
     with pytest.raises(ValueError):
         warc.parse(z.compress(bad) + z.flush())
+
+
+def test_entries_of_one_key_spread_over_ranges(spark):
+    rows = [(f"{r:06d}-0000-x", i, "com,a)/", 7, None, "http://a.com/", "response", "f", 10 * i, 10)
+            for r in range(4) for i in range(1000)]
+    rows += [("000009-0000-x", i, f"com,b)/{i:04d}", 7, i, None, "response", "g", i, 1) for i in range(1000)]
+    got = warc.merge_index(spark.createDataFrame(rows, warc.INDEX_SCHEMA)).toPandas()
+    assert got.groupby("range").size().max() < 2000 and len(got) == 5000
+    got = got.sort_values(["range", "place"])
+    assert list(zip(got.run, got.pos)) == [(r[0], r[1]) for r in rows]
