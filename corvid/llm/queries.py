@@ -6,8 +6,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corvid.llm import (byte_bpe, ecoc_language, hash_forest, packing, rule_ensemble, rule_ledger, simhash,
-                        super_kmers, token_files, warc)
+from corvid.llm import (byte_bpe, ecoc_language, hash_forest, license_scan, lloyd_codes, packing, rule_ensemble,
+                        rule_ledger, simhash, super_kmers, token_alignment, token_files, warc)
 from corvid.llm.common import materialise, table
 
 
@@ -57,6 +57,19 @@ def op10_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.alignment_report(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                                            public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op12_lloyd_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lloyd_codes.codes(table(spark, sf_dir, "embeddings"), entries=256, rounds=4)
+
+
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_token_files": op2_token_files,
@@ -68,6 +81,13 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_super_kmers": op9_super_kmers,
     "op10_best_fit": op10_best_fit,
+    "op11_alignment": op11_alignment,
+    "op12_lloyd_codes": op12_lloyd_codes,
+    "op13_license_scan": op13_license_scan,
 }
 
-ORACLE: dict[str, str] = {"op6_rule_ledger": rule_ledger.ORACLE}
+ORACLE: dict[str, str] = {
+    "op6_rule_ledger": rule_ledger.ORACLE,
+    "op12_lloyd_codes": lloyd_codes.oracle(),
+    "op13_license_scan": license_scan.oracle(),
+}
