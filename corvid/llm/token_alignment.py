@@ -30,9 +30,11 @@ import json
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -64,6 +66,10 @@ class Aligner:
             raise ValueError("a piece of the second vocabulary has a blank behind another character")
         self.b_bytes = {i: self._piece_bytes(i, p) for i, p in enumerate(pieces)}
         self.blank = [self.b.piece_to_id("▁")]
+        #: decimal ids with the sign behind them: "," inside a group's half, "|" and ";" at its end
+        self.shown = pa.array([f"{i}{sign}".encode() for n, end in ((max(self.a_bytes) + 1, "|"), (len(pieces), ";"))
+                               for i in range(n) for sign in (",", end)], pa.binary())
+        self.shown_b = 2 * (max(self.a_bytes) + 1)
         self.a_len = self._lengths(self.a_bytes)
         self.b_len = self._lengths(self.b_bytes)
         #: a << 32 | b of all pairs that can be linked, ascending
@@ -97,38 +103,58 @@ class Aligner:
                 found.update(i << 32 | j for i in of_a.get(t[k:], ()))
         return np.array(sorted(found), np.int64)
 
-    def _align(self, text: str, a: list[int], b: list[int]) -> tuple | None:
-        """(n_a, n_b, n_groups, packed places of the pairs, groups) of a segment."""
-        raw = text.encode("utf-8")
-        if b"".join(map(self.a_bytes.__getitem__, a)) != raw or b"".join(map(self.b_bytes.__getitem__, b)) != raw:
-            return None
-        a_ids, b_ids = np.array(a, np.int64), np.array(b, np.int64)
-        if len(a) == 1 or len(b) == 1:
-            ends_a, ends_b = np.array([len(a) - 1]), np.array([len(b) - 1])
-        else:
-            _, ends_a, ends_b = np.intersect1d(np.cumsum(self.a_len[a_ids]), np.cumsum(self.b_len[b_ids]),
-                                               assume_unique=True, return_indices=True)
-        places = np.searchsorted(self.pairs, a_ids[ends_a] << 32 | b_ids[ends_b])
-        groups, i, j = [], 0, 0
-        for x, y in zip(ends_a.tolist(), ends_b.tolist()):
-            groups.append(",".join(map(str, a[i:x + 1])) + "|" + ",".join(map(str, b[j:y + 1])))
-            i, j = x + 1, y + 1
-        return len(a), len(b), len(groups), places.astype(np.int32).tobytes(), ";".join(groups).encode()
-
-    def segments(self, texts: list[str]) -> dict[str, tuple | None]:
+    def _flat(self, raw: list[bytes], ids: list[list[int]], tokens: dict[int, bytes], length: np.ndarray) -> tuple:
+        """(all ids, how many each, which segments have token bytes that are their own)."""
+        n = np.fromiter(map(len, ids), np.int64, len(ids))
+        flat = np.fromiter(chain.from_iterable(ids), np.int64, n.sum())
+        size = np.fromiter(map(len, raw), np.int64, len(raw))
+        whole = b"".join(map(tokens.__getitem__, flat.tolist())) == b"".join(raw)
+        if whole and (np.add.reduceat(length[flat], np.cumsum(n) - n) == size).all():
+            return flat, n, np.ones(len(raw), bool)
+        return flat, n, np.array([b"".join(map(tokens.__getitem__, i)) == r for i, r in zip(ids, raw)])
+
+    def _align(self, some: list[str]) -> list[tuple | None]:
+        """(n_a, n_b, n_groups, packed places of the pairs, groups) of segments,
+        all at once: as both tokenizers give back every byte, the ends of their
+        tokens in the joined segments are those in each."""
+        a = [e.ids for e in self.a.encode_batch_fast(some, add_special_tokens=False)]
+        # the library adds the blank again, but not to an empty text
+        b = [x or self.blank for x in self.b.encode([t[1:] for t in some], num_threads=1)]
+        raw = [t.encode("utf-8") for t in some]
+        a_ids, n_a, sound = self._flat(raw, a, self.a_bytes, self.a_len)
+        b_ids, n_b, sound_b = self._flat(raw, b, self.b_bytes, self.b_len)
+        sound &= sound_b
+        if not sound.all():
+            kept = iter(self._align([t for t, x in zip(some, sound) if x]) if sound.any() else [])
+            return [next(kept) if x else None for x in sound]
+        ends_a, ends_b = np.cumsum(self.a_len[a_ids]), np.cumsum(self.b_len[b_ids])
+        at = np.searchsorted(ends_b, ends_a)
+        last_a = ends_b[at] == ends_a
+        last_b = np.zeros(len(b_ids), bool)
+        last_b[at[last_a]] = True
+        of_a, of_b = np.nonzero(last_a)[0], np.nonzero(last_b)[0]
+        places = np.searchsorted(self.pairs, a_ids[of_a] << 32 | b_ids[of_b]).astype(np.int32).tobytes()
+        n_groups = np.bincount(np.repeat(np.arange(len(some)), n_a)[of_a], minlength=len(some))
+        ends = np.cumsum(n_groups) * 4
+        # ids and signs in text order: each group's first ids, then its second ones
+        group_a = np.cumsum(last_a) - last_a
+        group_b = np.cumsum(last_b) - last_b
+        order = np.argsort(np.concatenate([group_a * 2, group_b * 2 + 1]), kind="stable")
+        shown = np.concatenate([a_ids * 2 + last_a, self.shown_b + b_ids * 2 + last_b])[order]
+        edges = np.concatenate([[0], np.cumsum(n_a + n_b)]).astype(np.int32)
+        groups = pc.binary_join(pa.ListArray.from_arrays(pa.array(edges), self.shown.take(pa.array(shown))), b"")
+        return list(zip(n_a.tolist(), n_b.tolist(), n_groups.tolist(),
+                        [places[x:y] for x, y in zip([0, *ends.tolist()], ends.tolist())], groups.to_pylist()))
+
+    def segments(self, texts: list[str]) -> list[tuple | None]:
         """Alignments of distinct segments; each starts with a blank."""
         table = self.table
         new = [t for t in texts if t not in table]
         made = {}
         for at in range(0, len(new), 20_000):
             some = new[at:at + 20_000]
-            ids_a = [e.ids for e in self.a.encode_batch(some, add_special_tokens=False)]
-            # the library adds the blank again, but not to an empty text
-            ids_b = self.b.encode([t[1:] for t in some], num_threads=1)
-            ids_b = [b or self.blank for b in ids_b]
-            for t, a, b in zip(some, ids_a, ids_b):
-                made[t] = self._align(t, a, b)
-        out = {t: table[t] for t in texts if t in table} | made
+            made |= zip(some, self._align(some))
+        out = [made[t] if t in made else table[t] for t in texts]
         for t, x in made.items():
             if len(t) <= SHORT:
                 self.held += 400 + 4 * len(t) + (len(x[3]) + len(x[4]) if x else 0)
@@ -140,17 +166,25 @@ class Aligner:
     def texts(self, texts: list[str]) -> list[tuple]:
         """(n_a, n_b, n_groups, places of pairs, how often each, sha256 of the groups) of texts."""
         cut = [_EDGE.split(" " + t) for t in texts]
-        known = self.segments(list({s for c in cut for s in c}))
-        none = (0, 0, 0, np.zeros(0, np.int32), np.zeros(0, np.int32), "")
+        code: dict[str, int] = {}
+        for c in cut:
+            for s in c:
+                code.setdefault(s, len(code))
+        none = (0, 0, 0, b"", b"")
+        known = self.segments(list(code))
+        odd = {i for i, x in enumerate(known) if x is None}
+        n_a, n_b, n_groups, places, groups = zip(*[x or none for x in known])
+        counts = np.array([n_a, n_b, n_groups])
         out = []
         for c in cut:
-            parts = [known[s] for s in c]
-            if None in parts:
-                out.append(none)
+            at = list(map(code.__getitem__, c))
+            if odd and not odd.isdisjoint(at):
+                out.append((0, 0, 0, np.zeros(0, np.int32), np.zeros(0, np.int32), ""))
                 continue
-            n_a, n_b, n_groups, places, groups = zip(*parts)
-            at, often = np.unique(np.frombuffer(b"".join(places), np.int32), return_counts=True)
-            out.append((sum(n_a), sum(n_b), sum(n_groups), at, often.astype(np.int32), hashlib.sha256(b";".join(groups)).hexdigest()))
+            pair, often = np.unique(np.frombuffer(b"".join([places[i] for i in at]), np.int32), return_counts=True)
+            # each segment's groups end with the sign that parts groups
+            sha = hashlib.sha256(b"".join([groups[i] for i in at])[:-1]).hexdigest()
+            out.append((*counts[:, at].sum(axis=1).tolist(), pair, often.astype(np.int32), sha))
         return out
 
 
