@@ -10,13 +10,11 @@ Presets (fixed values of the original comparison scripts; an unlimited
 tree depth becomes 20):
 
 * rf        100 trees, depth 20, balanced weights
-* gbt_hist  100 rounds, step 0.1, depth 10
-* gbt_xgb   100 rounds, step 0.1, depth 6
-* gbt_cat   500 rounds, step 0.05, depth 8, 128 bins, early stop on a 20 % validation slice
-            (Spark stops at the first round improving validation loss by less than
-            validationTol = 0.001 relative; there is no 50-round patience window.
-            Spark's default 0.01 stopped after the first tree at step 0.05)
-* gbt       100 rounds, depth 3
+* gbt_hist  100 rounds, step 0.1, depth 10, 256 bins, 20 rows in a leaf, no L2
+* gbt_xgb   100 rounds, step 0.1, depth 6, 256 bins, L2 1, second order of 1 in a leaf
+* gbt_cat   500 rounds, step 0.05, depth 8, 128 bins, L2 3, balanced weights; best round on a
+            20 % validation slice, early stop after 50 rounds without gain
+* gbt       100 rounds, step 0.1, depth 3
 * logreg    1,000 iterations, balanced weights
 * dt        depth 20, balanced weights
 * nb        Gaussian
@@ -30,17 +28,17 @@ tree depth becomes 20):
 from __future__ import annotations
 
 import json
-import math
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression,
-                                       MultilayerPerceptronClassifier, NaiveBayes, RandomForestClassifier)
+from pyspark.ml.classification import (DecisionTreeClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier,
+                                       NaiveBayes, RandomForestClassifier)
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvid.operators import prep
+from corvid.operators import boosting, prep
+from corvid.operators.boosting import BoostedTrees
 from corvid.session import ensure_checkpoint_dir, reliable_checkpoint
 from corvid.sources.io import path_exists
 
@@ -74,10 +72,10 @@ def right_size(df: DataFrame, rows: int | None = None) -> DataFrame:
 
 PRESETS = {
     "rf": dict(numTrees=100, maxDepth=20, minInstancesPerNode=1, balanced=True),
-    "gbt_hist": dict(maxIter=100, stepSize=0.1, maxDepth=10),
-    "gbt_xgb": dict(maxIter=100, stepSize=0.1, maxDepth=6),
-    "gbt_cat": dict(maxIter=500, stepSize=0.05, maxDepth=8, maxBins=128, validation=0.2, validationTol=0.001),
-    "gbt": dict(maxIter=100, maxDepth=3),
+    "gbt_hist": dict(maxIter=100, stepSize=0.1, maxDepth=10, l2=0.0, minRows=20),
+    "gbt_xgb": dict(maxIter=100, stepSize=0.1, maxDepth=6, l2=1.0, minHessian=1.0),
+    "gbt_cat": dict(maxIter=500, stepSize=0.05, maxDepth=8, maxBins=128, l2=3.0, validation=0.2, patience=50, balanced=True),
+    "gbt": dict(maxIter=100, stepSize=0.1, maxDepth=3, l2=0.0),
     "logreg": dict(maxIter=1000, balanced=True, scale=True),
     "dt": dict(maxDepth=20, balanced=True),
     "nb": dict(),
@@ -137,16 +135,6 @@ def _estimator(family: str, p: dict, n_features: int, weight: str | None):
         if weight:
             kw["weightCol"] = weight
         return RandomForestClassifier(**common, **kw)
-    if family.startswith("gbt"):
-        # boosted trees are shallow: no node-id cache (measured 30-40 % slower);
-        # the boosting loop still checkpoints every 10 rounds
-        kw = dict(maxIter=p.get("maxIter", 20), stepSize=p.get("stepSize", 0.1), maxDepth=p.get("maxDepth", 5),
-                  maxBins=p.get("maxBins", 32), seed=SEED, checkpointInterval=10)
-        if p.get("validation"):
-            kw.update(validationIndicatorCol="_is_val", validationTol=p.get("validationTol", 0.01))
-        if weight:
-            kw["weightCol"] = weight
-        return GBTClassifier(**common, **kw)
     if family == "logreg":
         kw = dict(maxIter=p.get("maxIter", 100))
         if weight:
@@ -170,25 +158,62 @@ def _estimator(family: str, p: dict, n_features: int, weight: str | None):
     raise ValueError(f"unknown family {family!r}")
 
 
+def is_boosted(family: str) -> bool:
+    return family.startswith("gbt") or family == "adaboost"
+
+
+def boosting_params(p: dict, family: str) -> boosting.Params:
+    if family == "adaboost":
+        if p.get("maxDepth", 1) != 1:
+            raise ValueError("AdaBoost boosts stumps (maxDepth = 1)")
+        return boosting.Params(rounds=p.get("rounds", 100), depth=1, bins=p.get("maxBins", 256), kind="samme")
+    return boosting.Params(rounds=p.get("maxIter", 20), depth=p.get("maxDepth", 5), step=p.get("stepSize", 0.1),
+                           bins=p.get("maxBins", 256), l2=p.get("l2", 1.0), min_rows=p.get("minRows", 1),
+                           min_hessian=p.get("minHessian", 0.0), patience=p.get("patience"))
+
+
+def fit_boosted(train: DataFrame, features: list[str], family: str, params: dict | None = None, label: str = "label",
+                id_col: str = "id", folds: tuple[str, int] | None = None) -> list[BoostedTrees]:
+    """One boosted model, or one per fold (column, k) left out, all in the same passes."""
+    p = {**PRESETS.get(family, {}), **(params or {})}
+    held = None
+    if p.get("validation"):
+        held = prep.seeded_md5(f"{SEED}val", id_col).substr(1, 8) < F.lit(format(int(p["validation"] * 16 ** 8), "08x"))
+    return boosting.fit(train, features, family, boosting_params(p, family), label, bool(p.get("balanced")), folds, held)
+
+
+def prepared(train: DataFrame, features: list[str], label: str = "label") -> dict:
+    """What every family's preparation needs of a train table, computed once:
+    medians, class counts, and means and deviations of the filled features."""
+    medians = prep.fit_median(train, features)
+    feats = [c for c in features if c in medians]
+    return {"medians": medians, "counts": prep.class_counts_local(train, label),
+            "scales": prep.fit_standard(prep.apply_fill(train, medians), feats)}
+
+
 def fit(train: DataFrame, features: list[str], family: str, params: dict | None = None,
-        label: str = "label", id_col: str = "id") -> PipelineModel:
-    """Fit one family; preprocessing is fitted on ``train`` only."""
+        label: str = "label", id_col: str = "id", stats: dict | None = None):
+    """Fit one family; preprocessing is fitted on ``train`` only (``stats``: what
+    ``prepared`` gave for it)."""
     p = {**PRESETS.get(family, {}), **(params or {})}
     ensure_checkpoint_dir(train.sparkSession)      # tree node-id cache checkpoints go there
-    if family == "adaboost":
-        return _described(fit_adaboost(train, features, p.get("rounds", 100), p.get("maxDepth", 1), label),
-                          family, prep.class_counts_local(train, label))
+    if is_boosted(family):
+        return _described(fit_boosted(train, features, family, params, label, id_col)[0], family,
+                          stats["counts"] if stats else prep.class_counts_local(train, label))
     if family == "stacking":
         return _described(fit_stacking(train, features, p, label, id_col),
                           family, prep.class_counts_local(train, label))
-    medians = prep.fit_median(train, features)
+    medians = stats["medians"] if stats else prep.fit_median(train, features)
     feats = [c for c in features if c in medians]           # all-null features leave by name
-    scales = prep.fit_standard(prep.apply_fill(train, medians), feats) if p.get("scale") else None
+    scales = None
+    if p.get("scale"):
+        scales = stats["scales"] if stats else prep.fit_standard(prep.apply_fill(train, medians), feats)
     stages = [prep_transformer(feats, medians, scales),
               VectorAssembler(inputCols=[f"{c}__x" for c in feats], outputCol="features", handleInvalid="error")]
     data = train.withColumn("label", binary_label(label))
     weight = None
-    counts = prep.class_counts_local(data, "label")     # one row per class; also sizes partitions
+    # one row per class; also sizes partitions
+    counts = stats["counts"] if stats else prep.class_counts_local(data, "label")
     if p.get("balanced"):
         w = prep.balanced_weights(counts)
         if w is not None:
@@ -196,9 +221,6 @@ def fit(train: DataFrame, features: list[str], family: str, params: dict | None
             for c, v in w.items():
                 expr = F.when(F.col("label") == c, F.lit(v)).otherwise(expr)
             data, weight = data.withColumn("_w", expr), "_w"
-    if p.get("validation"):
-        data = data.withColumn("_is_val", prep.seeded_md5(f"{SEED}val", id_col).substr(1, 8)
-                               < F.lit(format(int(p["validation"] * 16 ** 8), "08x")))
     stages.append(_estimator(family, p, len(feats), weight))
     return _described(Pipeline(stages=stages).fit(right_size(data, sum(counts.values()))), family, counts)
 
@@ -212,7 +234,7 @@ def _described(model, family: str, counts: dict):
 
 def feature_names(model) -> list[str]:
     """Trained feature names, in order, of any fitted family."""
-    if isinstance(model, (BoostedStumps, StackedModel)):
+    if isinstance(model, (BoostedTrees, StackedModel)):
         return list(model.features)
     va = [s for s in model.stages if isinstance(s, VectorAssembler)][0]
     return [c[:-3] for c in va.getInputCols()]
@@ -230,7 +252,7 @@ def align_for(model, df: DataFrame, keep: list[str] = ("id",)) -> DataFrame:
 
 def score(model, df: DataFrame, keep: list[str] = ("id", "label")) -> DataFrame:
     """Narrow scoring: (keep..., prediction int, p1 double, confidence)."""
-    if isinstance(model, (BoostedStumps, StackedModel)):
+    if isinstance(model, (BoostedTrees, StackedModel)):
         return model.score(df, keep)
     out = model.transform(df)
     if "probability" in out.columns:
@@ -243,18 +265,13 @@ def score(model, df: DataFrame, keep: list[str] = ("id", "label")) -> DataFrame:
 
 
 def importances(model) -> list[tuple[str, float]]:
-    """(feature, importance) with names carried alongside.  AdaBoost: mean
-    of the trees' importances by their weights; stacking: mean of the bases."""
+    """(feature, importance) with names carried alongside.  Boosted trees:
+    shares of gain, AdaBoost: of vote weight; stacking: mean of the bases."""
     if isinstance(model, StackedModel):
         per_base = [dict(importances(b)) for b in model.bases]
         return [(f, sum(b.get(f, 0.0) for b in per_base) / len(per_base)) for f in model.features]
-    if isinstance(model, BoostedStumps):
-        total = sum(abs(a) for a in model.alphas) or 1.0
-        vals = [0.0] * len(model.features)
-        for t, a in zip(model.trees, model.alphas):
-            for i, v in enumerate(t.featureImportances.toArray()):
-                vals[i] += abs(a) / total * float(v)
-        return list(zip(model.features, vals))
+    if isinstance(model, BoostedTrees):
+        return model.importances()
     est = model.stages[-1]
     names = feature_names(model)
     if hasattr(est, "featureImportances"):
@@ -266,63 +283,6 @@ def importances(model) -> list[tuple[str, float]]:
     return list(zip(names, [float(v) for v in vals]))
 
 
-# --- J11 AdaBoost (SAMME) ---------------------------------------------------------------------
-class BoostedStumps:
-    """Fitted preprocessing (one PipelineModel) plus a list of (tree, alpha);
-    score = weighted vote, probability = logistic of twice the normalized
-    margin."""
-
-    def __init__(self, prep_model, trees, alphas, features):
-        self.prep_model, self.trees, self.alphas, self.features = prep_model, trees, alphas, features
-
-    def score(self, df: DataFrame, keep=("id", "label")) -> DataFrame:
-        cols = [c for c in keep if c in df.columns]
-        cur = self.prep_model.transform(df).select(*cols, "features").withColumn("_m", F.lit(0.0))
-        total = sum(abs(a) for a in self.alphas) or 1.0
-        for t, a in zip(self.trees, self.alphas):
-            cur = (t.transform(cur).withColumn("_m", F.col("_m") + F.lit(a) * (2 * F.col("prediction") - 1))
-                   .drop("prediction", "probability", "rawPrediction"))
-        p1 = F.lit(1.0) / (F.lit(1.0) + F.exp(-2.0 * F.col("_m") / F.lit(total)))
-        return cur.select(*cols, (F.col("_m") > 0).cast("int").alias("prediction"), p1.alias("p1"),
-                          F.greatest(p1, F.lit(1.0) - p1).alias("confidence"))
-
-
-def fit_adaboost(train: DataFrame, features: list[str], rounds: int = 100, depth: int = 1,
-                 label: str = "label", checkpoint_every: int = 10) -> BoostedStumps:
-    """SAMME: each round fits a weighted tree on the assembled (once) feature
-    vectors, then re-weights the rows it missed.  The loop is inherently
-    sequential (one distributed fit per round); lineage is cut with a
-    reliable ``checkpoint()`` every few rounds."""
-    medians = prep.fit_median(train, features)
-    feats = [c for c in features if c in medians]
-    prep_model = Pipeline(stages=[prep_transformer(feats, medians),
-                                  VectorAssembler(inputCols=[f"{c}__x" for c in feats], outputCol="features")]
-                          ).fit(train.limit(0))
-    vec = prep_model.transform(train).select("features", binary_label(label))
-    n = vec.count()
-    vec = right_size(vec, n)
-    cur = reliable_checkpoint(vec.withColumn("_w", F.lit(1.0 / max(n, 1))))
-    trees, alphas = [], []
-    for r in range(rounds):
-        t = DecisionTreeClassifier(featuresCol="features", labelCol="label", weightCol="_w",
-                                   maxDepth=depth, seed=SEED).fit(cur)
-        pred = t.transform(cur).withColumn("_miss", (F.col("prediction") != F.col("label")).cast("double"))
-        agg = pred.agg(F.sum(F.col("_w") * F.col("_miss")).alias("e"), F.sum("_w").alias("t")).first()
-        err = (agg["e"] or 0.0) / (agg["t"] or 1.0)
-        if err >= 0.5:
-            break
-        err = max(err, 1e-10)
-        alpha = math.log((1 - err) / err)
-        trees.append(t)
-        alphas.append(alpha)
-        if err <= 1e-10:
-            break
-        cur = pred.select("features", "label", (F.col("_w") * F.exp(F.lit(alpha) * F.col("_miss"))).alias("_w"))
-        if (r + 1) % checkpoint_every == 0:
-            cur = reliable_checkpoint(cur)
-    return BoostedStumps(prep_model, trees, alphas, feats)
-
-
 # --- J13 stacking ----------------------------------------------------------------------------------
 class StackedModel:
     def __init__(self, bases, meta, features):
@@ -381,14 +341,13 @@ def metadata(spark, path: str) -> dict:
 
 def save(model, path: str, about: dict | None = None) -> None:
     """Any fitted family: its Spark stages below ``path``, and a JSON record
-    (kind, feature names, tree weights, and the caller's ``about``) that is
+    (kind, feature names, and the caller's ``about``) that is
     written last, so a model without it is incomplete."""
     spark = SparkSession.active()
     record = {**getattr(model, "_corvid", {}), **(about or {}), "features": feature_names(model)}
-    if isinstance(model, BoostedStumps):
-        model.prep_model.write().overwrite().save(f"{path}/prep")
-        PipelineModel(stages=model.trees).write().overwrite().save(f"{path}/trees")
-        record |= {"kind": "boosted", "alphas": model.alphas}
+    if isinstance(model, BoostedTrees):
+        _write_json(spark, f"{path}/trees", model.as_dict())
+        record["kind"] = "boosted"
     elif isinstance(model, StackedModel):
         for i, b in enumerate(model.bases):
             b.write().overwrite().save(f"{path}/base-{i}")
@@ -403,8 +362,7 @@ def save(model, path: str, about: dict | None = None) -> None:
 def load(path: str):
     record = metadata(SparkSession.active(), path)
     if record["kind"] == "boosted":
-        return BoostedStumps(PipelineModel.load(f"{path}/prep"), PipelineModel.load(f"{path}/trees").stages,
-                             record["alphas"], record["features"])
+        return BoostedTrees.from_dict(json.loads(SparkSession.active().read.text(f"{path}/trees").first()[0]))
     if record["kind"] == "stacked":
         return StackedModel([PipelineModel.load(f"{path}/base-{i}") for i in range(record["bases"])],
                             PipelineModel.load(f"{path}/meta"), record["features"])

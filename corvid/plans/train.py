@@ -9,6 +9,7 @@ per fold / model, built from small per-step aggregates."""
 from __future__ import annotations
 
 import time
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +23,7 @@ from corvid.session import reliable_checkpoint
 from corvid.sources import io
 
 METRICS = ["accuracy", "precision", "recall", "f1", "roc_auc"]
+TRAIN_METRICS = [f"train_{m}" for m in METRICS]
 
 
 def _metrics(scored: DataFrame) -> dict:
@@ -29,41 +31,69 @@ def _metrics(scored: DataFrame) -> dict:
 
 
 def _fit(train: DataFrame, features: list[str], family: str, params: dict | None = None,
-         label: str = "label", id_col: str = "id"):
-    """A fitted family as a function that scores rows.  k nearest neighbours
-    ("knn", 5 unless ``params`` has ``k``) have no model: they keep the train
-    rows, filled and scaled by the train side's own statistics."""
+         label: str = "label", id_col: str = "id", stats: dict | None = None):
+    """A fitted family as a function that scores rows (all columns named in
+    ``keep`` stay).  k nearest neighbours ("knn", 5 unless ``params`` has ``k``)
+    have no model: they keep the train rows, filled and scaled by the train
+    side's own statistics (``stats``, if it has been prepared)."""
     if family != "knn":
-        m = M.fit(train, features, family, params, label, id_col)
-        return lambda rows: M.score(m, rows)
-    medians = prep.fit_median(train, features)
+        m = M.fit(train, features, family, params, label, id_col, stats)
+        return lambda rows, keep=("id", "label"): M.score(m, rows, list(keep))
+    stats = stats or M.prepared(train, features, label)
+    medians, scales = stats["medians"], stats["scales"]
     feats = [c for c in features if c in medians]
-    scales = prep.fit_standard(prep.apply_fill(train, medians), feats)
 
     def ready(rows: DataFrame) -> DataFrame:
         rows = rows.select(id_col, label, *[F.col(c).cast("double").alias(c) for c in feats])
         return prep.apply_scale(prep.apply_fill(rows, medians), scales)
 
-    def score(rows: DataFrame) -> DataFrame:
+    def score(rows: DataFrame, keep=("id", "label")) -> DataFrame:
         votes = N.knn_classify(ready(train), ready(rows), feats, (params or {}).get("k", 5), id_col, label)
         p1 = F.when(F.col("prediction") == 1, F.col("share")).otherwise(1.0 - F.col("share"))
-        return rows.select(id_col, label).join(votes.withColumn("prediction", F.col("prediction").cast("int")), id_col) \
-            .select(id_col, label, "prediction", p1.alias("p1"))
+        return rows.select(*keep).join(votes.withColumn("prediction", F.col("prediction").cast("int")), id_col) \
+            .select(*keep, "prediction", p1.alias("p1"))
     return score
 
 
+def grouped_metrics(scored: DataFrame, by: list[str]) -> DataFrame:
+    """E1 for every group of a long table of scores, in one aggregate and one AUC."""
+    y, p = F.col("label"), F.col("prediction")
+    cells = [F.count_if((y == a) & (p == b)).cast("double").alias(n) for n, a, b in
+             (("tn", 0, 0), ("fp", 0, 1), ("fn", 1, 0), ("tp", 1, 1))]
+    tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
+
+    def share(a, b):
+        return F.round(F.coalesce(F.try_divide(a, b), F.lit(0.0)), 4)
+    counts = scored.groupBy(*by).agg(*cells).select(
+        *by, share(tp + tn, tp + tn + fp + fn).alias("accuracy"), share(tp, tp + fp).alias("precision"),
+        share(tp, tp + fn).alias("recall"), share(2 * tp, 2 * tp + fp + fn).alias("f1"))
+    auc = E.roc_auc(scored, "p1", "label", by).withColumnRenamed("auc", "roc_auc")
+    return counts.join(auc, by, "left")
+
+
 def cross_validate(df: DataFrame, features: list[str], family: str, k: int = 5, balance: str = "none",
                    params: dict | None = None, id_col: str = "id") -> DataFrame:
     """Stratified k folds; balancing is applied inside the training
-    folds only (no leakage); one metrics row per fold."""
+    folds only (no leakage); per fold its metrics on the rows left out and, as
+    ``train_...``, on the rows that it was fitted on.
+
+    Boosted families fit all folds in the same passes; every family is scored
+    on the whole table, and the metrics of all folds are one aggregate."""
     folded = reliable_checkpoint(prep.kfold(df, k, "label", id_col))
-    rows = []
-    for f in range(k):
-        train = prep.balance(folded.where(F.col("fold") != f), balance, features, "label", id_col)
-        met = _metrics(_fit(train, features, family, params, "label", id_col)(folded.where(F.col("fold") == f)))
-        rows.append((f, *[met[x] for x in METRICS]))
-    spark = df.sparkSession
-    return spark.createDataFrame(rows, "fold int, " + ", ".join(f"{m} double" for m in METRICS))
+    if M.is_boosted(family) and balance == "none":
+        models = M.fit_boosted(folded, features, family, params, "label", id_col, folds=("fold", k))
+        scorers = [lambda rows, keep, m=m: M.score(m, rows, keep) for m in models]
+    else:
+        scorers = [_fit(prep.balance(folded.where(F.col("fold") != f), balance, features, "label", id_col), features, family, params,
+                        "label", id_col) for f in range(k)]
+    parts = [scorer(folded, [id_col, "label", "fold"]).select("label", "prediction", "p1", F.lit(f).alias("of"),
+                                                              (F.col("fold") == f).alias("left_out"))
+             for f, scorer in enumerate(scorers)]
+    scored = reduce(DataFrame.unionByName, parts).persist()
+    found = {(r["of"], r["left_out"]): r for r in grouped_metrics(scored, ["of", "left_out"]).collect()}     # 2 k rows
+    scored.unpersist()
+    rows = [(f, *[found[f, side][x] if (f, side) in found else None for side in (True, False) for x in METRICS]) for f in range(k)]
+    return df.sparkSession.createDataFrame(rows, "fold int, " + ", ".join(f"{m} double" for m in METRICS + TRAIN_METRICS))
 
 
 def compare_models(train: DataFrame, test: DataFrame, features: list[str], families: list[str],
@@ -73,10 +103,11 @@ def compare_models(train: DataFrame, test: DataFrame, features: list[str], famil
     train = train.cache()
     test = test.cache()
     n_train, n_test = train.count(), test.count()
+    stats = M.prepared(train, features)         # shared by all families, outside their times
     rows = []
     for fam in families:
         t0 = time.time()
-        scorer = _fit(train, features, fam, (params or {}).get(fam))
+        scorer = _fit(train, features, fam, (params or {}).get(fam), stats=stats)
         t1 = time.time()
         s = scorer(test).cache()
         met = _metrics(s)
@@ -108,9 +139,10 @@ def train_per_source(df: DataFrame, source_col: str, features: list[str], famili
             rows += [(name or "ALL", M.DISPLAY.get(fam, fam), n, *[None] * len(METRICS)) for fam in families]
             continue
         sp = prep.stratified_split(part, test_size=test_size).cache()
+        train, test = sp.where(F.col("split") == "train"), sp.where(F.col("split") == "test")
+        stats = M.prepared(train, features)
         for fam in families:
-            scorer = _fit(sp.where(F.col("split") == "train"), features, fam, (params or {}).get(fam))
-            met = _metrics(scorer(sp.where(F.col("split") == "test")))
+            met = _metrics(_fit(train, features, fam, (params or {}).get(fam), stats=stats)(test))
             rows.append((name or "ALL", M.DISPLAY.get(fam, fam), n, *[met[x] for x in METRICS]))
         sp.unpersist()
     return df.sparkSession.createDataFrame(rows, "source string, model string, n_rows long, " + ", ".join(f"{m} double" for m in METRICS))
@@ -133,11 +165,14 @@ def retrain_one(df: DataFrame, split_path: str, features: list[str], family: str
 
 
 def train_job(spark, upload: DataFrame, out_dir: str, label_col: str | None = None, policy: str = "general",
-              families: tuple = ("rf", "gbt_hist", "gbt_xgb"), params: dict | None = None,
+              families: tuple = ("rf", "gbt_hist", "gbt_xgb", "gbt_cat"), params: dict | None = None,
               features: list[str] | None = None, id_col: str = "id", balance: str = "smote",
-              test_size: float = 0.2) -> dict:
+              test_size: float = 0.2, manual_col: str = "label") -> dict:
     """Master append -> label -> split (persisted) -> balance on train
-    -> fit each family -> metrics -> save models -> history row."""
+    -> fit each family -> metrics -> save models -> history row.
+
+    Rows typed in by hand carry their text in ``manual_col`` and no disposition:
+    it counts where the label column is null."""
     from corvid.operators.select import API_EXCLUDE, numeric_cols
     master_root = f"{out_dir}/master"
     master = io.read_versioned(spark, master_root)
@@ -145,6 +180,12 @@ def train_job(spark, upload: DataFrame, out_dir: str, label_col: str | None = No
     io.write_versioned(combined, master_root)
     combined = io.read_versioned(spark, master_root)
     lc = label_col or L.find_label_column(combined)
+    if manual_col in combined.columns and manual_col != lc:
+        typed = F.col(lc).isNull()
+        # such rows have no id either: a hash far below all synthetic ids
+        own_id = -F.abs(F.xxhash64(F.to_json(F.struct("*"))).bitwiseOR(F.lit(1 << 62)))
+        combined = combined.withColumn(id_col, F.coalesce(F.col(id_col), F.when(typed, own_id))) \
+            .withColumn(lc, F.coalesce(F.col(lc), io.manual_disposition(manual_col))).drop(manual_col)
     lab = L.binary_filter(L.map_label(combined, lc, policy, "label"))
     feats = features or numeric_cols(lab, exclude=set(API_EXCLUDE) | {lc, id_col})
     split = prep.stratified_split(lab, test_size=test_size)
@@ -155,9 +196,10 @@ def train_job(spark, upload: DataFrame, out_dir: str, label_col: str | None = No
     # side are computed once and kept (memory and disk)
     train = prep.balance(split.where(F.col("split") == "train"), balance, feats, "label", id_col).persist()
     test = split.where(F.col("split") == "test").persist()
+    stats = M.prepared(train, feats)
     metrics = {}
     for fam in families:
-        m = M.fit(train, feats, fam, (params or {}).get(fam), "label", id_col)
+        m = M.fit(train, feats, fam, (params or {}).get(fam), "label", id_col, stats)
         metrics[fam] = _metrics(M.score(m, test))
         M.save(m, f"{out_dir}/models/{fam}", {"family": fam, "policy": policy, "label_col": lc})
     io.append_history(spark, f"{out_dir}/history", lab.count(), len(feats), metrics, params or {}, True)

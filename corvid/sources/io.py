@@ -185,6 +185,11 @@ def validate_manual(df: DataFrame) -> DataFrame:
                                                   .otherwise("FALSE POSITIVE"))))
 
 
+def manual_disposition(col: str):
+    """The disposition that a manual label text stands for; other texts: null."""
+    return F.when(F.col(col) == "PLANET", "CONFIRMED").when(F.col(col) == "NOT_PLANET", "FALSE POSITIVE")
+
+
 def resolve_training_source(spark: SparkSession, master_root: str, raw_root: str) -> DataFrame:
     """A10: the master if present, else the last raw upload."""
     master = read_versioned(spark, master_root)
