@@ -1,7 +1,8 @@
 """Local attribution (K5), top-k by magnitude (G7), sentences (I13) and
 "explain the first row" (K6).
 
-Exact Shapley values against a baseline row (for example the training
+For a score that is only known as a function (``attribution`` has closed forms
+for fitted trees, forests, boosted and linear models), exact Shapley values against a baseline row (for example the training
 medians): every row is expanded to its 2^n coalitions (``explode`` of a
 bounded ``sequence``; n <= 10), features outside the coalition take the
 baseline value, the model scores all coalitions in one pass, and
@@ -32,7 +33,8 @@ def shapley(df: DataFrame, features: list[str], baseline: dict,
     feature columns to the same frame plus ``score_col``."""
     n = len(features)
     if n > MAX_FEATURES:
-        raise ValueError(f"exact Shapley enumerates 2^n coalitions; n={n} > {MAX_FEATURES}")
+        raise ValueError(f"coalitions of {n} features are too many (at most {MAX_FEATURES}); "
+                         "attribution.attributions has closed forms for trees, forests, boosted and linear models")
     masks = df.select(F.col(id_col), *features, F.explode(F.sequence(F.lit(0), F.lit((1 << n) - 1))).alias("_m"))
     coal = masks.select(id_col, "_m", *[
         F.when((F.col("_m").bitwiseAND(F.lit(1 << i))) != 0, F.col(c)).otherwise(F.lit(float(baseline[c]))).alias(c)
