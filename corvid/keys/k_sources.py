@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from corvid.keys import key
 from corvid.keys.shapes import koi_like
 from corvid.operators.setops import anti_join_seen, drop_exact_duplicates, union_by_name
 from corvid.operators.standardize import extract, standardize
+from corvid.session import scratch_dir
 from corvid.keys.shapes import toi_like
 from corvid.sources import io, views
 from corvid.sources.tables import table_path
@@ -53,9 +56,30 @@ def extract_cols(spark, sf):
 
 @key("csv_text_rows", "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders")
 def csv_text_rows(spark, sf):
+    """The header names the columns in another order and has further ones."""
+    o = spark.read.parquet(table_path(sf, "orders"))
+    lines = o.select(F.to_csv(F.struct("o_totalprice", "o_custkey", "o_orderkey", "o_orderstatus")).alias("value"))
+    head = spark.createDataFrame([(' O_TOTALPRICE,"o_custkey", o_orderkey ,o_orderstatus',)], "value string")
+    return io.csv_text_to_table(head.unionByName(lines), "o_orderkey long, o_orderstatus string, o_totalprice double")
+
+
+@key("csv_text_by_place", "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders")
+def csv_text_by_place(spark, sf):
+    """A6 without a header line."""
     o = spark.read.parquet(table_path(sf, "orders"))
     lines = o.select(F.to_csv(F.struct("o_orderkey", "o_orderstatus", "o_totalprice")).alias("value"))
-    return io.csv_text_to_table(lines, "o_orderkey long, o_orderstatus string, o_totalprice double")
+    return io.csv_text_to_table(lines, "o_orderkey long, o_orderstatus string, o_totalprice double", header=False)
+
+
+@key("scan_csv", "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_totalprice > 100000")
+def scan_csv(spark, sf):
+    """A1 on CSV: the orders are written as CSV with a header and read back,
+    with the columns and the filter given to the scan."""
+    path = scratch_dir(spark, f"csv-{uuid.uuid4().hex}")
+    spark.read.parquet(table_path(sf, "orders")).select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice") \
+        .write.option("header", True).csv(path)
+    return io.read_table(spark, path, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double", "csv") \
+        .where("o_totalprice > 100000").select("o_orderkey", "o_orderstatus", "o_totalprice")
 
 
 _BATCHES_SQL = """

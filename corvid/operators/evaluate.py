@@ -204,15 +204,18 @@ def comparison_long(results: DataFrame, id_col: str = "model") -> DataFrame:
     return typed.unpivot([id_col], metrics, "metric", "value")
 
 
-def eval_bundle(df: DataFrame, label: str = "label", pred: str = "pred", score: str = "score") -> dict:
+def eval_bundle(df: DataFrame, label: str = "label", pred: str = "pred", score: str = "score",
+                importances: list[tuple[str, float]] | None = None, top: int = 20) -> dict:
     """Metrics and confusion (one small row each, non-finite -> None),
-    the sample count, and the ROC points as a DataFrame (its size grows
-    with the distinct scores, so it is not pulled to the driver)."""
+    the sample count, the ROC points as a DataFrame (its size grows with the
+    distinct scores, so it is not pulled to the driver), and the ``top`` features
+    of a model's ``importances``, the largest first, equal ones by name."""
     import math as _m
 
     def fin(v):
         return v if not isinstance(v, float) or _m.isfinite(v) else None
     m = binary_metrics(df, label, pred, score).first().asDict()
     cm = confusion(df, label, pred).first().asDict()
-    return {"metrics": {k: fin(v) for k, v in m.items()}, "confusion": cm,
+    ranked = sorted(((f, fin(float(v))) for f, v in importances or []), key=lambda x: (-(x[1] or 0.0), x[0]))
+    return {"metrics": {k: fin(v) for k, v in m.items()}, "confusion": cm, "importance": ranked[:top],
             "roc": roc_points(df, score, label), "n_samples": sum(cm.values())}

@@ -52,24 +52,19 @@ def read_optional(spark: SparkSession, path: str, schema: StructType | str,
                   fmt: str | None = None) -> DataFrame:
     """A2: a missing path gives an empty table of the given schema."""
     if not path_exists(spark, path):
-        print(f"WARNING: path not found: {path}")
+        print(f"nothing at {path}: an empty table stands for it")
         return spark.createDataFrame([], schema)
     return read_table(spark, path, schema, fmt)
 
 
 def read_many_tagged(spark: SparkSession, paths: dict, tag_col: str = "source_dataset",
                      fmt: str | None = None) -> DataFrame:
-    """A3: read each existing source, skip failures, tag, union by name."""
-    frames = []
-    for name, path in paths.items():
-        try:
-            if not path_exists(spark, path):
-                continue
-            frames.append(read_table(spark, path, None, fmt).withColumn(tag_col, F.lit(name)))
-        except Exception as exc:  # noqa: BLE001 - a failed source is skipped
-            print(f"skipping {name}: {exc}")
+    """A3: read each source that is there, tag, union by name; a source that is
+    there but cannot be read is an error."""
+    frames = [read_table(spark, path, None, fmt).withColumn(tag_col, F.lit(name))
+              for name, path in paths.items() if path_exists(spark, path)]
     if not frames:
-        raise ValueError("No datasets could be loaded!")
+        raise ValueError(f"none of the sources is there: {', '.join(sorted(paths.values()))}")
     return union_by_name(frames)
 
 
@@ -87,16 +82,35 @@ def csv_text_to_table(lines: DataFrame, schema: StructType | str, text_col: str
                       header: bool = True) -> DataFrame:
     """CSV text rows -> typed table.  Blank lines are dropped and cells
     trimmed (as the upload form does); parsing is ``from_csv`` on executors.
-    With ``header``, lines that hold just the column names are no data."""
+
+    With ``header`` one line, wherever it stands, names the columns: cells are
+    taken by name (in any letter case), so order and further columns do not matter,
+    and copies of that line are no data.  A table whose header lacks names (it has
+    over half of them), or with lines that name the columns in different orders,
+    is refused.  Without ``header``, or where no line is one, cells are taken by
+    place."""
+    st = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
     body = lines.where(F.trim(F.col(text_col)) != "")
+    names, order, is_header = [f.name.lower() for f in st], None, F.lit(False)
     if header:
-        st = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
-        names = ",".join(n.lower() for n in st.fieldNames())
-        body = body.where(F.lower(F.regexp_replace(F.col(text_col), r'[\s"\x{FEFF}]+', "")) != names.replace(" ", ""))
-    parsed = body.select(F.from_csv(F.col(text_col), schema if isinstance(schema, str) else schema.simpleString(),
-                                    {"ignoreLeadingWhiteSpace": "true",
-                                     "ignoreTrailingWhiteSpace": "true"}).alias("r"))
-    return parsed.select("r.*")
+        cells = F.transform(F.split(F.regexp_replace(F.lower(F.col(text_col)), r'["\x{FEFF}]', ""), ","), lambda x: F.trim(x))
+        absent = F.size(F.array_except(F.array(*[F.lit(n) for n in names]), cells))
+        # the header comes first: few names are absent from it
+        found = body.where(absent < len(names) / 2).select(cells.alias("c"), absent.alias("absent")).distinct() \
+            .orderBy("absent", "c").limit(2).collect()
+        if found and found[0]["absent"]:
+            raise ValueError(f"the header lacks {sorted(set(names) - set(found[0]['c']))}")
+        if len(found) > 1 and not found[1]["absent"]:
+            raise ValueError("lines name the columns in different orders")
+        if found:
+            order, is_header = list(found[0]["c"]), absent == 0
+    order = order or names
+    place = {n: order.index(n) for n in names}
+    kinds = {place[f.name.lower()]: f.dataType.simpleString() for f in st}
+    ddl = ", ".join(f"_{i} {kinds.get(i, 'string')}" for i in range(len(order)))
+    parsed = body.where(~is_header).select(F.from_csv(F.col(text_col), ddl, {"ignoreLeadingWhiteSpace": "true",
+                                                                             "ignoreTrailingWhiteSpace": "true"}).alias("r"))
+    return parsed.select(*[F.col("r")[f"_{place[f.name.lower()]}"].alias(f.name) for f in st])
 
 
 def write_snapshot(df: DataFrame, root: str, ts: str | None = None) -> str:
@@ -151,6 +165,7 @@ def read_versioned(spark: SparkSession, root: str) -> DataFrame | None:
     return spark.read.parquet(f"{root.rstrip('/')}/{version}")
 
 
+# fixed values: the fields of the manual form
 MANUAL_SCHEMA = ("koi_period double, koi_duration double, koi_depth double, koi_prad double, "
                  "koi_teq double, koi_insol double, koi_model_snr double, koi_steff double, "
                  "koi_slogg double, koi_srad double, label string")

@@ -215,6 +215,38 @@ def test_csv_upload_header_is_no_row(spark):
     assert sorted(map(tuple, io.csv_text_to_table(lines, "a int, b string").collect())) == [(1, "x"), (2, "b")]
 
 
+def test_csv_upload_takes_columns_by_name(spark):
+    def read(*lines):
+        df = spark.createDataFrame([(x,) for x in lines], "value string")
+        return sorted(map(tuple, io.csv_text_to_table(df, "a int, b string").collect()))
+    assert read("1,x,9", 'B, "extra" ,a', "b,extra,a", "x,9,1", "y,,2") == [(1, "x"), (2, "y"), (9, "1")]
+    assert read("z,A,b", "5,1,x") == [(1, "x")]
+    assert read("1,x", "2,b") == [(1, "x"), (2, "b")]           # no header
+    with pytest.raises(ValueError, match="different orders"):
+        read("a,b", "1,x", "b,a")
+    three = spark.createDataFrame([("a,b",), ("1,2",)], "value string")
+    with pytest.raises(ValueError, match="lacks"):
+        io.csv_text_to_table(three, "a int, b int, c int")
+
+
+def test_tagged_sources_are_read_or_fail(spark, tmp_path):
+    spark.range(3).write.parquet(str(tmp_path / "x.parquet"))
+    got = io.read_many_tagged(spark, {"x": str(tmp_path / "x.parquet"), "y": str(tmp_path / "y.parquet")})
+    assert got.count() == 3 and got.columns[0] in ("id", "source_dataset")
+    with pytest.raises(ValueError):
+        io.read_many_tagged(spark, {"y": str(tmp_path / "y.parquet")})
+    (tmp_path / "bad.parquet").write_text("no parquet")
+    with pytest.raises(Exception):
+        io.read_many_tagged(spark, {"x": str(tmp_path / "x.parquet"), "bad": str(tmp_path / "bad.parquet")}).count()
+
+
+def test_bundle_ranks_importances(spark):
+    from corvid.operators.evaluate import eval_bundle
+    df = spark.createDataFrame([(0, 0, 0.2), (1, 1, 0.9), (1, 0, 0.4)], "label int, pred int, score double")
+    b = eval_bundle(df, importances=[("b", 0.2), ("a", 0.2), ("c", 0.6), ("d", 0.0)], top=3)
+    assert b["importance"] == [("c", 0.6), ("a", 0.2), ("b", 0.2)] and eval_bundle(df)["importance"] == []
+
+
 def test_optional_table_keeps_the_given_schema(spark, tmp_path):
     p = tmp_path / "t.csv"
     p.write_text("code\n007\n")

@@ -24,10 +24,15 @@ def test_keys_fit_all_families_of_the_reference(spark, monkeypatch):
         asked.append((family, {**M.PRESETS[family], **(params or {})}))
         raise Stop
 
+    def boosted(df, features, family, p, *rest, **kw):
+        asked.append((family, {"maxIter": p.rounds}))
+        raise Stop
+
     assert set(k_models.COMPARE_FAMILIES) == REFERENCE
     keys = E.queries()
     assert {f"cross_validate_{f}" for f in REFERENCE - {"logreg"}} | {"cross_validate"} <= set(keys)
     monkeypatch.setattr(M, "fit", fit)
+    monkeypatch.setattr(M.boosting, "fit", boosted)
     for name in ("boosting_log", *(f"cross_validate_{f}" for f in ("rf", "gbt_cat"))):
         try:
             keys[name](spark, SF_SMALL)
