@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvid.llm.common import small_batches
-from corvid.llm.word_encoder import PieceTable
+from corvid.llm.word_encoder import TABLE_BYTES, PieceTable
 
 #: White space other than blank and line feed (Unicode's White_Space).
 _ODD_SPACE = re.compile("[\t\x0b-\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
@@ -81,7 +81,7 @@ class RankQueue:
 
 
 class ByteBpe:
-    def __init__(self, ranks: dict[bytes, int], pattern: str, limit: int = 400_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, limit: int = TABLE_BYTES):
         import regex
         self.ranks = ranks
         # what holds the gap byte is in no text: without it no pair reaches over a gap

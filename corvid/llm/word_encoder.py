@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import os
 import struct
+import sys
 from collections.abc import Iterator
 from operator import attrgetter
 
@@ -26,6 +27,12 @@ _WORD_AND_SIGNS = "^(?P<word>[A-Za-zÀ-ÖØ-öø-įı-ſ]*)(?P<signs>[[:punct:]]
 
 _ID = attrgetter("id")
 
+#: Memory of a generation of a word table, and the longest key that outlasts its
+#: batch: a text without blanks is one piece, and is encoded whole each time.
+TABLE_BYTES = 64 << 20
+SLOT_BYTES = 100
+LONGEST_KEY = 256
+
 
 def byte_alphabet() -> dict[int, str]:
     """The printable stand-in of every byte in byte-level vocabularies: bytes
@@ -36,26 +43,39 @@ def byte_alphabet() -> dict[int, str]:
 
 
 class PieceTable:
-    """A bounded dict in two generations: when the young one is full it becomes
-    the old one, and what is used again moves back."""
+    """A dict of bounded memory in two generations: when the young one holds
+    ``limit`` bytes it becomes the old one, and what is used again moves back.
+    Keys over LONGEST_KEY leave with the next batch."""
 
-    def __init__(self, limit: int):
+    def __init__(self, limit: int = TABLE_BYTES):
         self.limit = limit
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.size = 0
+        self.passing: list[str] = []
+
+    def _keep(self, k: str, v: bytes) -> None:
+        self.young[k] = v
+        if len(k) > LONGEST_KEY:
+            self.passing.append(k)
+        else:
+            self.size += sys.getsizeof(k) + sys.getsizeof(v) + SLOT_BYTES
 
     def fill_all(self, keys: set[str], make_all) -> dict[str, bytes]:
         """Make sure that all keys are in the young generation; return it.
         ``make_all`` gives (key, value) of a list of keys."""
-        if len(self.young) > self.limit:
-            self.old, self.young = self.young, {}
-        young, old = self.young, self.old
-        missing = keys.difference(young)        # (of the dict: its key view would be walked)
-        new = missing.difference(old)
+        for k in self.passing:
+            del self.young[k]
+        self.passing = []
+        if self.size > self.limit:
+            self.old, self.young, self.size = self.young, {}, 0
+        missing = keys.difference(self.young)   # (of the dict: its key view would be walked)
+        new = missing.difference(self.old)
         for k in missing - new:
-            young[k] = old[k]
-        young.update(make_all(list(new)))
-        return young
+            self._keep(k, self.old[k])
+        for k, v in make_all(list(new)):
+            self._keep(k, v)
+        return self.young
 
     def fill(self, keys: set[str], make) -> dict[str, bytes]:
         return self.fill_all(keys, lambda new: ((k, make(k)) for k in new))
@@ -68,7 +88,7 @@ class WordEncoder:
     tokenizer that lower-cases, drops white space and splits letters from
     digits and signs (``public_tokenizers.path("word_bpe_49k.json")``)."""
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = TABLE_BYTES):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         self.lib = Tokenizer.from_file(path)
