@@ -8,6 +8,10 @@ unpivoted to long form.  Exact quantiles use the bracketing selection in
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -96,14 +100,64 @@ def histogram(df: DataFrame, cols: list[str], bins: int = N_HIST_BINS) -> DataFr
     return long.groupBy("feature", "bin").agg(F.count(F.lit(1)).alias("count"))
 
 
+def _moments(cols: list[str]):
+    """Per task one row per pair of columns: rows that have both, their means, squared
+    deviations and co-deviation.  Blocks are summed as matrix products of values
+    relative to the task's first ones, so a constant column deviates by exactly 0."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        k = len(cols)
+        n, sx, sxx, sxy = (np.zeros((k, k)) for _ in range(4))     # of the row's column, where the other is there too
+        base = np.full(k, np.nan)
+        for batch in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]).astype(np.float64)
+            x[~np.isfinite(x)] = np.nan
+            for i in np.flatnonzero(np.isnan(base)):
+                some = x[~np.isnan(x[:, i]), i]
+                base[i] = some[0] if len(some) else np.nan
+            there = (~np.isnan(x)).astype(np.float64)
+            x = np.nan_to_num(x - base)
+            n += there.T @ there
+            sx += x.T @ there
+            sxx += (x * x).T @ there
+            sxy += x.T @ x
+        a, b = np.triu_indices(k, 1)
+        some = n[a, b] > 0
+        a, b = a[some], b[some]
+        m, s_a, s_b = n[a, b], sx[a, b], sx[b, a]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(v) for v in (a.astype(np.int32), b.astype(np.int32), m, base[a] + s_a / m, base[b] + s_b / m,
+                                   sxx[a, b] - s_a * s_a / m, sxx[b, a] - s_b * s_b / m, sxy[a, b] - s_a * s_b / m)],
+            ["a", "b", "n", "mx", "my", "xx", "yy", "xy"])
+    return run
+
+
 def corr_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Pearson correlation on pairwise complete rows, long form, one pass."""
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
-    row = df.agg(*[F.corr(a, b).alias(f"{a}__{b}") for a, b in pairs])
-    packed = F.array(*[F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"),
-                                F.col(f"{a}__{b}").alias("corr")) for a, b in pairs])
-    return (row.select(F.explode(packed).alias("s")).select("s.*")
-            .withColumn("corr", F.round("corr", 4)))
+    """Pearson correlation on pairwise complete rows, long form, one pass.
+
+    A task returns one small row per pair, however many rows it has read; these are
+    merged pair by pair (a pair's list has one entry per task).  NaN and infinite
+    values count as missing; a pair without two different values on both sides has
+    no correlation."""
+    numbers = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
+    parts = numbers.mapInArrow(_moments(cols), "a int, b int, n double, mx double, my double, xx double, yy double, xy double")
+    fields = ["n", "mx", "my", "xx", "yy", "xy"]
+
+    def merge(s, t):
+        n, dx, dy = s["n"] + t["n"], t["mx"] - s["mx"], t["my"] - s["my"]
+        w = s["n"] * t["n"] / n
+        return F.struct(n.alias("n"), (s["mx"] + dx * (t["n"] / n)).alias("mx"), (s["my"] + dy * (t["n"] / n)).alias("my"),
+                        (s["xx"] + t["xx"] + dx * dx * w).alias("xx"), (s["yy"] + t["yy"] + dy * dy * w).alias("yy"),
+                        (s["xy"] + t["xy"] + dx * dy * w).alias("xy"))
+
+    zero = F.struct(*[F.lit(0.0).alias(f) for f in fields])
+    whole = (parts.groupBy("a", "b").agg(F.collect_list(F.struct(*fields)).alias("p"))
+             .select("a", "b", F.aggregate("p", zero, merge).alias("m")))
+    names = F.array(*[F.lit(c) for c in cols])
+    corr = F.when((F.col("m.xx") > 0) & (F.col("m.yy") > 0), F.col("m.xy") / F.sqrt("m.xx") / F.sqrt("m.yy"))
+    pairs = df.sparkSession.createDataFrame([(i, j) for i in range(len(cols)) for j in range(i + 1, len(cols))], "a int, b int")
+    return (pairs.join(whole, ["a", "b"], "left")
+            .select(names[F.col("a")].alias("feature_a"), names[F.col("b")].alias("feature_b"),
+                    F.round(corr, 4).alias("corr")))
 
 
 def shape(df: DataFrame) -> DataFrame:
