@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import math
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,22 +33,59 @@ N_BINS = 1024
 
 def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float],
                     accuracy: int = 10000, max_collect: int = 200_000, small_n: int = 5000) -> dict:
-    """Return {(col, prob): value or None} for every column and probability."""
+    """Return {(col, prob): value or None} for every column and probability.
+
+    The three passes share one evaluation of the columns: unless the caller caches
+    them they are kept (memory, then disk) until the result is there; what a lost
+    executor held is evaluated again."""
     if not cols:
         return {}
+    at = {c: i for i, c in enumerate(dict.fromkeys(cols))}
+    numbers = df.select(*[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(f"v{i}")
+                          for c, i in at.items()])
+    if df.storageLevel.useMemory or df.storageLevel.useDisk:
+        return _bracketed(numbers, at, probs, accuracy, max_collect, small_n)
+    numbers = numbers.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _bracketed(numbers, at, probs, accuracy, max_collect, small_n)
+    finally:
+        numbers.unpersist()
+
+
+def _double(x: float) -> str:
+    return f"CAST('{float(x)!r}' AS DOUBLE)"
+
+
+def _inside(t: dict) -> str:
+    return f"v{t['i']} BETWEEN {_double(t['lo'])} AND {_double(t['hi'])}"
+
+
+def _inside_rows(df: DataFrame, tasks: dict[int, dict], of) -> DataFrame:
+    """(task, x) for every value inside the brackets; ``of`` gives x as SQL text."""
+    items = ", ".join(f"named_struct('task', {j}, 'x', CASE WHEN {_inside(t)} THEN {of(t)} END)" for j, t in tasks.items())
+    return (df.where(" OR ".join(f"({_inside(t)})" for t in tasks.values()))
+            .selectExpr(f"inline(filter(array({items}), s -> s.x IS NOT NULL))"))
+
+
+def _bin(t: dict) -> str:
+    lo, hi = float(t["lo"]), float(t["hi"])
+    return f"least(CAST(floor((v{t['i']} - {_double(lo)}) / {_double(hi - lo)} * {N_BINS}) AS INT), {N_BINS - 1})"
+
+
+def _bracketed(df: DataFrame, at: dict[str, int], probs: list[float], accuracy: int, max_collect: int, small_n: int) -> dict:
     probs = [float(p) for p in probs]
     d = 2.0 / accuracy
     brackets = sorted({min(1.0, max(0.0, p + s)) for p in probs for s in (-d, d)})
     aggs = []
-    for i, c in enumerate(cols):
-        v = F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))
-        aggs += [F.count(v).alias(f"n{i}"), F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}"),
-                 F.percentile_approx(v, brackets, accuracy).alias(f"pa{i}")]
+    at_probs = ", ".join(f"{p!r}D" for p in brackets)
+    for i in at.values():
+        aggs += [F.expr(f"count(v{i}) AS n{i}"), F.expr(f"min(v{i}) AS lo{i}"), F.expr(f"max(v{i}) AS hi{i}"),
+                 F.expr(f"percentile_approx(v{i}, array({at_probs}), {accuracy}) AS pa{i}")]
     row = df.agg(*aggs).first()
 
     result: dict = {}
     tasks = []  # dicts: c, p, n, k1, k2, h, lo, hi
-    for i, c in enumerate(cols):
+    for c, i in at.items():
         n = row[f"n{i}"]
         for p in probs:
             if not n:
@@ -61,7 +99,7 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float],
                 pa = dict(zip(brackets, row[f"pa{i}"]))
                 lo = pa[min(1.0, max(0.0, p - d))]
                 hi = pa[min(1.0, max(0.0, p + d))]
-            tasks.append(dict(c=c, p=p, n=n, h=h, k1=k1, k2=k2, lo=lo, hi=hi,
+            tasks.append(dict(c=c, i=i, p=p, n=n, h=h, k1=k1, k2=k2, lo=lo, hi=hi,
                               gmin=row[f"lo{i}"], gmax=row[f"hi{i}"]))
     if not tasks:
         return result
@@ -72,36 +110,14 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float],
     for t in pending:
         t["full"] = t["n"] <= small_n and t["lo"] == t["gmin"] and t["hi"] == t["gmax"]
 
-    def _value(c):
-        v = F.col(c).cast("double")
-        return F.when(~F.isnan(v), v)
-
-    def _inside(t):
-        v = _value(t["c"])
-        return (v >= F.lit(float(t["lo"]))) & (v <= F.lit(float(t["hi"])))
-
-    def _inside_rows(js: list[int], of) -> DataFrame:
-        """(task, x) for every value inside the brackets ``js``; ``of`` gives x."""
-        hit = None
-        for j in js:
-            hit = _inside(pending[j]) if hit is None else hit | _inside(pending[j])
-        items = F.array(*[F.struct(F.lit(j).alias("task"), F.when(_inside(pending[j]), of(pending[j])).alias("x"))
-                          for j in js])
-        return (df.where(hit).select(F.explode(F.filter(items, lambda s: s["x"].isNotNull())).alias("s"))
-                .select("s.*"))
-
-    def _bin(t):
-        lo, hi = float(t["lo"]), float(t["hi"])
-        return F.least(F.floor((_value(t["c"]) - F.lit(lo)) / F.lit(hi - lo) * N_BINS).cast("int"), F.lit(N_BINS - 1))
-
     while pending:          # every pass narrows a bracket, widens a missed one, or reads it off
         # brackets are literals (a handful per column)
         counts = {}
         aggs = []
         for j, t in enumerate(pending):
             if not t["full"]:
-                aggs += [F.count_if(_value(t["c"]) < F.lit(float(t["lo"]))).alias(f"below{j}"),
-                         F.count_if(_inside(t)).alias(f"inside{j}")]
+                aggs += [F.expr(f"count_if(v{t['i']} < {_double(t['lo'])}) AS below{j}"),
+                         F.expr(f"count_if({_inside(t)}) AS inside{j}")]
         if aggs:
             counts = df.agg(*aggs).first().asDict()
         collect_ids, narrow_ids, nxt = [], [], []
@@ -124,7 +140,7 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float],
                 narrow_ids.append(j)
         if narrow_ids:
             per: dict = {}
-            for r in _inside_rows(narrow_ids, _bin).groupBy("task", "x").agg(F.count(F.lit(1)).alias("cnt")).collect():
+            for r in _inside_rows(df, {j: pending[j] for j in narrow_ids}, _bin).groupBy("task", "x").agg(F.count(F.lit(1)).alias("cnt")).collect():
                 per.setdefault(r["task"], {})[r["x"]] = r["cnt"]
             for j in narrow_ids:                # narrow to the bins holding k1..k2
                 t = pending[j]
@@ -151,7 +167,7 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float],
             for j in collect_ids:
                 t = pending[j]
                 rep.setdefault((t["c"], float(t["lo"]), float(t["hi"])), j)
-            vals = (_inside_rows(list(rep.values()), lambda t: _value(t["c"]))
+            vals = (_inside_rows(df, {j: pending[j] for j in rep.values()}, lambda t: f"v{t['i']}")
                     .groupBy("task", "x").agg(F.count(F.lit(1)).alias("cnt")).collect())
             grouped: dict = {}
             for r in vals:
