@@ -49,10 +49,10 @@ def test_quality_edges(spark):
 
 def test_query_recall(spark):
     got = queries.QUERIES["op5_hash_forest"](spark, MID).toPandas()
-    assert _recall(got, spark.read.parquet(f"{MID}/embeddings.parquet").toPandas(), exact=True) == 1.0
+    assert _recall(got, spark.read.parquet(f"{MID}/embeddings.parquet").toPandas()) >= 0.95
 
 
-def _recall(got, table, exact=False, k=20):
+def _recall(got, table, k=20):
     ids, v = table.vec_id.to_numpy(), np.stack(table.embedding.to_numpy()).astype(float)
     hits = total = 0
     for q, mine in got.groupby("query_id"):
@@ -102,13 +102,41 @@ def test_forest_edges(spark):
     assert hash_forest.neighbours(df.filter("vec_id = 0")).count() == 0
 
 
+def test_forest_lengths_and_repeated_ids(spark):
+    rows = [(20, [1.0, 0.0]), (20, [0.0, 1.0]), (20, [1.0, 0.0]), (1, [2.0, 3.0]), (40, [1.0, 1.0, 1.0]), (2, [0.0, 0.0, 2.0]),
+            (20, [0.0, 0.0, 5.0]), (60, [7.0])]
+    got = hash_forest.neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == [
+        (20, 1, 1, 2.0), (20, 1, 1, 3.0), (20, 1, 2, 10.0), (20, 2, 20, 0.0), (20, 2, 20, 0.0), (20, 2, 40, 5.0),
+        (40, 1, 20, 5.0), (40, 2, 2, 2.0)]
+
+
+def test_work_on_clustered_vectors(spark):
+    """The share of rows compared falls as rows grow: the cost is a number of rows."""
+    rng = np.random.default_rng(3)
+    compared = {}
+    for n in (4_000, 16_000, 64_000):
+        # 80 rows a cluster
+        v = rng.standard_normal((n // 80, 48))[np.arange(n) % (n // 80)] + 0.1 * rng.standard_normal((n, 48))
+        df = spark.createDataFrame([(i, x) for i, x in enumerate(v.tolist())], "vec_id long, embedding array<double>")
+        report = []
+        rows = hash_forest.clean(df)
+        got = hash_forest.search(rows, rows.filter(f"vec_id % {n // 100} = 0"), report=report).toPandas()
+        hits = sum(len(set(mine.vec_id) & set(np.argsort(-np.where(np.arange(n) == q, -np.inf, v @ v[q]))[:20]))
+                   for q, mine in got.groupby("query_id"))
+        print(n, hits / len(got), report)
+        assert len(got) == 100 * 20 and hits / len(got) >= 0.93 and report[0]["root"] == 0
+        compared[n] = report[0]["compared"]
+    assert compared[64_000] < 0.1 * 64_000 and compared[64_000] < 4 * compared[4_000]
+
+
 @pytest.mark.parametrize("block", [50, 8192])
 def test_copies_blocks_and_root_visits(spark, block):
     rng = np.random.default_rng(2)
     base = rng.standard_normal((300, 8))
     rows = [(i, base[i % 300 if i < 600 else 0].tolist()) for i in range(1500)]      # one vector holds most rows
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    got = hash_forest.neighbours(df, block=block, least=10, width=1 / 8).toPandas()
+    got = hash_forest.neighbours(df, block=block, least=4, most=32).toPandas()
     v = np.array([r[1] for r in rows])
     hits = 0
     for q, mine in got.groupby("query_id"):
