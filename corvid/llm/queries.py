@@ -13,7 +13,7 @@ from corvid.llm.common import materialise, table
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = warc.write_archives(table(spark, sf_dir, "pages"))
-    return warc.read_archives(materialise(warc.merge_index(runs), "capture-index"))
+    return warc.read_archives(materialise(warc.merge_index(runs), "capture-index")).drop("urlkey")
 
 
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,7 +87,9 @@ QUERIES = {
 }
 
 ORACLE: dict[str, str] = {
+    "op1_warc": warc.oracle(),
     "op6_rule_ledger": rule_ledger.ORACLE,
+    "op9_super_kmers": super_kmers.oracle(window=35),
     "op12_lloyd_codes": lloyd_codes.oracle(),
     "op13_license_scan": license_scan.oracle(),
 }

@@ -269,3 +269,21 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = docs.select(F.struct("*").alias("row"), F.xxhash64(k, text).alias("rid"), k.alias("k")).join(lost, ["rid", "k"], "left")
     new = {text_col: F.col("kept"), length_col: F.length("kept").cast("long")}
     return rows.select(*[(F.coalesce(new[c], F.col("row")[c]) if c in new else F.col("row")[c]).alias(c) for c in docs.columns])
+
+
+def oracle(window: int = 35) -> str:
+    """DuckDB SQL of ``dedup_report`` over the table documents: every window is spelled out."""
+    return f"""
+WITH docs AS (SELECT row_number() OVER () AS rid, doc_id,
+                     regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+word AS (SELECT rid, unnest(words) AS word, unnest(range(len(words))) AS pos, len(words) AS n FROM docs),
+spelled AS (SELECT rid, pos, word, CASE WHEN pos + {window} <= n THEN string_agg(word, ' ') OVER (
+                PARTITION BY rid ORDER BY pos ROWS BETWEEN CURRENT ROW AND {window - 1} FOLLOWING) END AS spelling FROM word),
+counted AS (SELECT rid, pos, word, spelling IS NOT NULL AND count(*) OVER (PARTITION BY spelling) > 1 AS again FROM spelled),
+covered AS (SELECT rid, pos, word, bool_or(again) OVER (
+                PARTITION BY rid ORDER BY pos ROWS BETWEEN {window - 1} PRECEDING AND CURRENT ROW) AS gone FROM counted),
+kept AS (SELECT rid, count(*) FILTER (WHERE gone) AS n_removed,
+                string_agg(word, ' ' ORDER BY pos) FILTER (WHERE NOT gone) AS kept FROM covered GROUP BY rid)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed,
+       sha256(coalesce(kept, '')) AS kept_sha256
+FROM docs LEFT JOIN kept USING (rid)"""

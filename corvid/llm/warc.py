@@ -265,3 +265,19 @@ def read_archives(index: DataFrame) -> DataFrame:
         .sortWithinPartitions("file", "offset") \
         .mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, "
                          "refers_to long, urlkey string")
+
+
+def oracle() -> str:
+    """DuckDB SQL of the archives' contents over the table pages.  Five hexadecimal
+    digits of a SHA-1 are four base32 characters."""
+    chunk = "CAST('0x' || substr(sha1(payload), {at}, 5) AS BIGINT)"
+    letter = "substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((({chunk} >> {shift}) & 31) + 1 AS BIGINT), 1)"
+    base32 = " || ".join(letter.format(chunk=chunk.format(at=5 * i + 1), shift=shift) for i in range(8) for shift in (15, 10, 5, 0))
+    return f"""
+WITH paid AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+told AS (SELECT page_id, octet_length(payload) AS payload_bytes, {base32} AS payload_digest,
+                max(page_id) OVER (PARTITION BY payload) AS last_id FROM paid)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+       CASE WHEN page_id = last_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> last_id THEN last_id END AS refers_to
+FROM told"""
