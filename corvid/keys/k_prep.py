@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from corvid.keys import key
@@ -92,3 +93,23 @@ FROM draws d JOIN rk r ON r.label = d.label
                % d._n) + 1""")
 def oversample(spark, sf):
     return prep.oversample(views.imb(spark, sf), seed=42).select("draw", "label", "src_id", "n_chars")
+
+
+@key("balance_dispatch", """, c AS (SELECT label, count(*) AS n FROM imb WHERE label IS NOT NULL GROUP BY label)
+SELECT 'none' AS method, label, n FROM c
+UNION ALL SELECT 'undersample', label, (SELECT min(n) FROM c) FROM c
+UNION ALL SELECT 'oversample', label, (SELECT max(n) FROM c) FROM c""")
+def balance_dispatch(spark, sf):
+    """rows per class by method."""
+    d = views.imb(spark, sf).where("label IS NOT NULL")
+    out = [prep.balance(d, m).groupBy("label").agg(F.count(F.lit(1)).alias("n")).select(F.lit(m).alias("method"), "label", "n")
+           for m in ("none", "undersample", "oversample")]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+@key("assembled", "SELECT id, period AS x0, duration AS x1 FROM obs WHERE period IS NOT NULL AND duration IS NOT NULL")
+def assembled(spark, sf):
+    """columns as one vector, in their order."""
+    rows = views.obs(spark, sf).where("period IS NOT NULL AND duration IS NOT NULL").select("id", "period", "duration")
+    v = vector_to_array(F.col("features"))
+    return prep.assembler(["period", "duration"]).transform(rows).select("id", v[0].alias("x0"), v[1].alias("x1"))

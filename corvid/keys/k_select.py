@@ -313,3 +313,25 @@ def flops_formula(spark, sf):
                     F.lit(len(views.OBS_FEATURES)).cast("long").alias("n_features"))
     return rows.withColumn("flops", S.flops_estimate("model", "n_train", "n_test", "n_features"))
 
+
+
+@key("min_rows", """
+SELECT n, (SELECT count(*) FROM obs) >= n AS enough FROM (SELECT unnest([1, 10, 1000000000000]) AS n) t""")
+def min_rows(spark, sf):
+    """Reads no more rows than the wanted number."""
+    o = views.obs(spark, sf)
+    return spark.createDataFrame([(n, SEL.has_min_rows(o, n)) for n in (1, 10)], "n long, enough boolean").unionByName(
+        o.agg(F.lit(1000000000000).alias("n"), (F.count(F.lit(1)) >= F.lit(1000000000000)).alias("enough")))
+
+
+@key("class_texts", """
+SELECT o_orderkey, CASE WHEN o_totalprice / 400000 > 0.5 THEN 1 ELSE 0 END AS cls,
+  CASE WHEN o_totalprice / 400000 > 0.5 THEN 'PLANET' ELSE 'NOT_PLANET' END AS planet,
+  CASE WHEN o_totalprice / 400000 > 0.5 THEN 'EXOPLANET' ELSE 'FALSE_POSITIVE' END AS exoplanet,
+  round_even(o_orderkey / 2, 0) AS halves, o_totalprice / nullif(o_custkey % 7, 0) * 1000.0 AS ms FROM orders""")
+def class_texts(spark, sf):
+    """I10, I11, I12, I16 over every order; no rows, no time per row."""
+    o = load(spark, sf, "orders").withColumn("cls", S.threshold_class(F.col("o_totalprice") / 400000))
+    return o.select("o_orderkey", "cls", S.planet_text("cls").alias("planet"), S.exoplanet_text("cls").alias("exoplanet"),
+                    S.round_half_even(F.col("o_orderkey") / 2).alias("halves"),
+                    S.per_sample_ms("o_totalprice", F.col("o_custkey") % 7).alias("ms"))

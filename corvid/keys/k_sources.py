@@ -142,3 +142,58 @@ def history_last10(spark, sf):
     ev = spark.read.parquet(table_path(sf, "events"))
     return io.last_runs(ev.select("event_id", "user_id", "value", "ts"), 10, "ts", "event_id").select(
         "event_id", "user_id", "value")
+
+
+def _fresh(spark, name):
+    return scratch_dir(spark, f"{name}-{uuid.uuid4().hex}")
+
+
+@key("land_once", "SELECT id, disposition, true AS landed FROM obs WHERE disposition = 'CONFIRMED'")
+def land_once_key(spark, sf):
+    """A5: the first landing stays, a second one to the same place does nothing."""
+    o, path = views.obs(spark, sf).select("id", "disposition"), _fresh(spark, "landed")
+    first = io.land_once(o.where("disposition = 'CONFIRMED'"), path)
+    second = io.land_once(o, path)
+    return spark.read.parquet(path).withColumn("landed", F.lit(first and not second))
+
+
+@key("last_upload", _BATCHES_SQL + "SELECT * FROM b2")
+def last_upload(spark, sf):
+    """Two stored uploads and no master: training reads the later one."""
+    root = _fresh(spark, "uploads")
+    b1, b2 = _batches(spark, sf)
+    io.write_snapshot(b2, root, "20240102_000000")
+    io.write_snapshot(b1, root, "20240101_235959")
+    return io.resolve_training_source(spark, root + "-master", root)
+
+
+@key("current_master", _BATCHES_SQL + "SELECT DISTINCT * FROM (SELECT * FROM b1 UNION ALL SELECT * FROM b2) u")
+def current_master(spark, sf):
+    """A second version of the master replaces the first and goes before uploads."""
+    root = _fresh(spark, "master")
+    b1, b2 = _batches(spark, sf)
+    io.write_versioned(io.append_master(b1, None), root)
+    io.write_versioned(io.append_master(b2, io.read_versioned(spark, root)), root)
+    return io.resolve_training_source(spark, root, root + "-uploads")
+
+
+@key("result_table", "SELECT disposition, count(*) AS n FROM obs GROUP BY disposition")
+def result_table(spark, sf):
+    """Counts written as one CSV table with a header and read back."""
+    path = _fresh(spark, "counts")
+    io.write_result_table(views.obs(spark, sf).groupBy("disposition").agg(F.count(F.lit(1)).alias("n")), path)
+    return io.read_table(spark, path, "disposition string, n long", "csv")
+
+
+@key("report_lines", """
+SELECT printf('%12s %9.4f %9.4f %9.4f %9d', o_orderstatus, count(*) FILTER (WHERE o_totalprice > 150000) / 100000,
+              0.0, 0.25, count(*)) AS value FROM orders GROUP BY o_orderstatus""")
+def report_lines(spark, sf):
+    """Report rows as text lines, nulls as zero."""
+    o = spark.read.parquet(table_path(sf, "orders"))
+    report = o.groupBy(F.col("o_orderstatus").alias("label")).agg(
+        (F.count_if(F.col("o_totalprice") > 150000) / F.lit(100000.0)).alias("precision"),
+        F.lit(None).cast("double").alias("recall"), F.lit(0.25).alias("f1"), F.count(F.lit(1)).alias("support"))
+    path = _fresh(spark, "report")
+    io.report_text(report, path)
+    return spark.read.text(path)
