@@ -117,6 +117,8 @@ def _stored_trees(model) -> list[list[Leaf]]:
 
 def supported(model) -> bool:
     last = model.stages[-1] if isinstance(model, PipelineModel) else model
+    if isinstance(model, PipelineModel) and len(model.stages) > 3:      # a kernel map stands before the margin
+        return False
     return isinstance(last, (BoostedTrees, DecisionTreeClassificationModel, RandomForestClassificationModel,
                              LogisticRegressionModel, LinearSVCModel))
 
