@@ -33,7 +33,7 @@ def test_one_stage_has_the_trees_of_one_block_and_of_aggregates(spark, folded, m
     assert len(jobs.getJobIdsForGroup("gang")) < 20          # one job for each level and round before
     spark.sparkContext.setJobGroup("rest", "")
     assert many == one and any(m["trees"] for m in one)
-    if p.kind == "samme":
+    if p.patience is None:
         monkeypatch.setattr(B, "_slots", lambda s: 0)
         assert fit(block=200) == one
 
