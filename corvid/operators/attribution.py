@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvid.operators.boosting import BoostedTrees, binned
+from corvid.operators.forest import Forest, stored
 from corvid.session import scratch_dir
 
 #: A leaf: (value, path) with a path of {feature: (low, high)}: low < x <= high leads on.
@@ -119,7 +120,7 @@ def supported(model) -> bool:
     last = model.stages[-1] if isinstance(model, PipelineModel) else model
     if isinstance(model, PipelineModel) and len(model.stages) > 3:      # a kernel map stands before the margin
         return False
-    return isinstance(last, (BoostedTrees, DecisionTreeClassificationModel, RandomForestClassificationModel,
+    return isinstance(last, (BoostedTrees, Forest, DecisionTreeClassificationModel, RandomForestClassificationModel,
                              LogisticRegressionModel, LinearSVCModel))
 
 
@@ -136,6 +137,15 @@ def attributions(model, df: DataFrame, baseline: dict, id_col: str = "id") -> Da
 
         def ready(x: np.ndarray) -> np.ndarray:
             return binned(list(x), edges).astype(float)
+    elif isinstance(model, Forest):
+        names, columns = model.features, list(model.features)
+        found = [leaves(f.tolist(), cut.tolist(), down.tolist(), (down + 1).tolist(), (value / model.trees).tolist())
+                 for f, cut, down, value in stored(model.path)]
+        rows = df.select(id_col, *[x.alias(c) for x, c in zip(model.filled(), columns)])
+        baseline = {c: model.medians[c] if baseline.get(c) is None or baseline[c] != baseline[c] else baseline[c] for c in columns}
+
+        def ready(x: np.ndarray) -> np.ndarray:
+            return model.binned(list(x)).astype(float)
     elif supported(model):
         last = model.stages[-1]
         names = [c[:-3] for c in model.stages[1].getInputCols()]
