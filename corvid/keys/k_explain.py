@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corvid.keys import key
+from corvid.keys.k_models import split_sig
 from corvid.keys.splits_sql import split_sql
 from corvid.operators import attribution as A
 from corvid.operators import explain as X
@@ -116,7 +117,7 @@ WIDE = FEATS + [f"log_{c}" for c in FEATS]
 def shapley_boosted(spark, sf):
     """K5 above ten features, on 100 boosted trees: the closed form's values of every
     held-out row add up to its margin less that of the baseline row."""
-    sp = prep.stratified_split(views.sig(spark, sf), test_size=0.2, seed=42) \
+    sp = split_sig(spark, sf) \
         .withColumns({f"log_{c}": F.log1p(F.col(c)) for c in FEATS}).cache()
     train, test = sp.where(F.col("split") == "train"), sp.where(F.col("split") == "test")
     m = M.fit(train, WIDE, "gbt")

@@ -8,11 +8,10 @@ import uuid
 from pyspark.sql import functions as F
 
 from corvid.keys import key
-from corvid.keys.k_models import NB_ROWS, rounded
+from corvid.keys.k_models import NB_ROWS, rounded, split_sig
 from corvid.keys.k_sources import _BATCHES_SQL, _batches
 from corvid.keys.splits_sql import gaussian_nb_sql, split_sql
 from corvid.operators import models as M
-from corvid.operators import prep
 from corvid.session import scratch_dir
 from corvid.sources import views
 from corvid.streaming import stream as ST
@@ -38,7 +37,7 @@ def stream_score(spark, sf):
     """New V_SIG rows are scored by a saved model as they land (naive Bayes,
     whose scores SQL states in closed form)."""
     root = scratch_dir(spark, f"stream-score-{uuid.uuid4().hex}")
-    sp = prep.stratified_split(views.sig(spark, sf), test_size=0.2, seed=42).cache()
+    sp = split_sig(spark, sf).cache()
     feats = views.OBS_FEATURES
     m = M.fit(sp.where(F.col("split") == "train"), feats, "nb")
     M.save(m, f"{root}/model")
