@@ -184,14 +184,16 @@ SCORERS = {"snr_score": ("snr", 200.0), "depth_score": ("depth", 4000.0), "prad_
            "period_score": ("period", 4.0), "teff_score": ("st_teff", 5000.0)}
 
 
-def scorer_long(spark, sf):
-    """V_SIG scored by every fixed scorer: (id, label, model, score, pred)."""
+def scorer_counts(spark, sf):
+    """V_SIG scored by every fixed scorer, as rows per (model, score, pred, label): the
+    view is read once, and what is kept grows with the distinct scores, not with the rows."""
     s = views.sig(spark, sf)
     items = [F.struct(F.lit(m).alias("model"),
                       (F.least(F.floor(F.coalesce(F.col(c), F.lit(0.0)) / d), F.lit(100)).cast("double")
                        / 100.0).alias("score")) for m, (c, d) in SCORERS.items()]
-    long = s.select("id", "label", F.explode(F.array(*items)).alias("s")).select("id", "label", "s.*")
-    return long.withColumn("pred", (F.col("score") > 0.5).cast("int")).persist()
+    long = s.select("label", F.explode(F.array(*items)).alias("s")).select("label", "s.*")
+    return long.groupBy("model", "score", (F.col("score") > 0.5).cast("int").alias("pred"), "label") \
+        .agg(F.count(F.lit(1)).alias("n")).persist()
 
 
 SCORER_LONG_SQL = ", sl AS (" + " UNION ALL ".join(
@@ -201,19 +203,18 @@ SCORER_LONG_SQL = ", sl AS (" + " UNION ALL ".join(
 
 def comparison(spark, sf):
     """Wide per-model table: model, accuracy, precision, recall, f1, roc_auc."""
-    long = scorer_long(spark, sf)
-    cm = long.groupBy("model").agg(
-        F.count_if((F.col("label") == 0) & (F.col("pred") == 0)).alias("tn"),
-        F.count_if((F.col("label") == 0) & (F.col("pred") == 1)).alias("fp"),
-        F.count_if((F.col("label") == 1) & (F.col("pred") == 0)).alias("fn"),
-        F.count_if((F.col("label") == 1) & (F.col("pred") == 1)).alias("tp"))
+    counts = scorer_counts(spark, sf)
+
+    def rows(y, p):
+        return F.coalesce(F.sum(F.when((F.col("label") == y) & (F.col("pred") == p), F.col("n"))), F.lit(0))
+    cm = counts.groupBy("model").agg(rows(0, 0).alias("tn"), rows(0, 1).alias("fp"), rows(1, 0).alias("fn"), rows(1, 1).alias("tp"))
     tp, fp, fn, tn = (F.col(c).cast("double") for c in ("tp", "fp", "fn", "tn"))
     z = F.lit(0.0)
     met = cm.select("model", F.round((tp + tn) / (tp + tn + fp + fn), 4).alias("accuracy"),
                     F.round(F.coalesce(F.try_divide(tp, tp + fp), z), 4).alias("precision"),
                     F.round(F.coalesce(F.try_divide(tp, tp + fn), z), 4).alias("recall"),
                     F.round(F.coalesce(F.try_divide(2 * tp, 2 * tp + fp + fn), z), 4).alias("f1"))
-    auc = E.roc_auc(long, "score", "label", ["model"]).withColumnRenamed("auc", "roc_auc")
+    auc = E.roc_auc(counts, "score", "label", ["model"], "n").withColumnRenamed("auc", "roc_auc")
     # both sides hold one row per model (bounded by the model list)
     return met.join(F.broadcast(auc), "model", "inner")
 
