@@ -41,13 +41,12 @@ def test_same_result_as_the_estimator_in_few_jobs(spark, monkeypatch, case):
 
 @pytest.mark.parametrize("family,params", [("svc", {"fourier": 16, "maxIter": 20}), ("mlp", {"hidden": [4], "maxIter": 20})])
 def test_many_tasks_and_no_room_for_waves(spark, monkeypatch, tmp_path, family, params):
-    df = _rows(spark).cache()
-    one = M.fit(df.coalesce(1), ["a", "b", "c"], family, params)
+    df = _rows(spark).repartition(3).cache()
     monkeypatch.setattr(M, "MIN_ROWS_PER_TASK", 500)
     monkeypatch.setattr(descent, "KEEP", 0)
     many = M.fit(df, ["a", "b", "c"], family, params)
-    gap = np.abs(_p1(one, df) - _p1(many, df))
-    assert (gap.max() < 1e-4 if family == "svc" else gap.mean() < 0.1)      # a network's rows lie in other blocks and tasks
+    monkeypatch.setattr(boosting, "_slots", lambda s: 0)
+    assert np.abs(_p1(M.fit(df, ["a", "b", "c"], family, params), df) - _p1(many, df)).max() < 1e-6
     M.save(many, str(tmp_path / family))
     assert (_p1(M.load(str(tmp_path / family)), df) == _p1(many, df)).all()
 
